@@ -231,7 +231,8 @@ def joined(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     # exact sets of the members: one text of each class is read again
     wanted = members.select("d1", "d2", "rep").distinct()
     texts = with_unique_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    again = texts.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    # always by shuffle: the list of texts to read again grows with the corpus
+    again = texts.join(wanted.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
