@@ -12,14 +12,14 @@ def log_gap(now: Column, last: Column) -> Column:
 
 
 def hyperbolic(now: Column, last: Column, span: float, scale: float = 1.0) -> Column:
-    """1 / (1 + scale * age), age as a share of the span; 0 without a last time."""
+    """1 / (1 + scale * age), age as a share of the span; 0 without a last time (greatest() would pass over a null)."""
     age = F.greatest(now - last, F.lit(0)) / F.lit(float(span))
-    return F.coalesce(1.0 / (1.0 + age * scale), F.lit(0.0))
+    return F.when(last.isNull(), F.lit(0.0)).otherwise(1.0 / (1.0 + age * scale))
 
 
 def decayed(count: Column, now: Column, last: Column, span: float, beta: float) -> Column:
     age = F.greatest(now - last, F.lit(0)) / F.lit(float(span))
-    return F.coalesce(F.when(count > 0, F.log1p(count.cast("double")) * F.exp(-beta * age * 100.0)), F.lit(0.0))
+    return F.coalesce(F.when((count > 0) & last.isNotNull(), F.log1p(count.cast("double")) * F.exp(-beta * age * 100.0)), F.lit(0.0))
 
 
 def clipped_trend(recent: Column, older: Column) -> Column:

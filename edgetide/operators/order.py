@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,24 @@ def with_seq(edges: DataFrame, order: tuple[str, ...] = EDGE_ORDER, name: str =
     return with_prefix(edges, order, F.lit(1), name)
 
 
-def exact_percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
-    """Linear-interpolated percentiles, exact: values are counted first, then the few that hold the wanted ranks come to the driver."""
+def exact_percentiles(df: DataFrame, column: str, shares: list[float], few: int = 50_000) -> list[float]:
+    """Linear-interpolated percentiles, exact. Values are counted; up to `few` distinct ones are added up on the driver, more in ranges on
+    the cluster, from which only the values at the wanted ranks come back."""
     counts = df.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")).filter("x is not null")
-    total = counts.agg(F.sum("n")).head()[0]
+    held = counts.limit(few + 1).collect()
+    total = sum(r.n for r in held) if len(held) <= few else counts.agg(F.sum("n")).head()[0]
     if not total:
         return [float("nan")] * len(shares)
     wanted = sorted({k for s in shares for k in (math.floor(s * (total - 1)) + 1, math.ceil(s * (total - 1)) + 1)})
-    upto = with_prefix(counts, ("x",), F.col("n"), "upto")
-    hit = F.exists(F.array(*map(F.lit, wanted)), lambda k: (k <= F.col("upto")) & (k > F.col("upto") - F.col("n")))
-    found = upto.filter(hit).select("x", "n", "upto").collect()
-    at = {k: float(r.x) for r in found for k in wanted if r.upto - r.n < k <= r.upto}
+    if len(held) <= few:
+        held.sort(key=lambda r: r.x)
+        ends = list(accumulate(r.n for r in held))
+        at = {k: float(held[bisect_left(ends, k)].x) for k in wanted}
+    else:
+        upto = with_prefix(counts, ("x",), F.col("n"), "upto")
+        hit = F.exists(F.array(*map(F.lit, wanted)), lambda k: (k <= F.col("upto")) & (k > F.col("upto") - F.col("n")))
+        found = upto.filter(hit).select("x", "n", "upto").collect()
+        at = {k: float(r.x) for r in found for k in wanted if r.upto - r.n < k <= r.upto}
     out = []
     for s in shares:
         place = s * (total - 1)

@@ -114,7 +114,7 @@ def with_unknown_policy(df: DataFrame, score: str, policy: str = "demote", fallb
     elif policy == "constant":
         y = F.when(unknown, F.lit(float(fallback))).otherwise(x)
     elif policy == "demote":
-        y = F.when(unknown, F.coalesce(F.least(F.lit(float(fallback)), floor - abs(margin)), F.lit(0.0))).otherwise(x)
+        y = F.when(unknown, F.when(floor.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(float(fallback)), floor - abs(margin)))).otherwise(x)
     else:
         y = x
     rows = df.withColumn("_prior", cold_prior(key)).withColumn("_y", y)

@@ -35,7 +35,7 @@ def first_match_rank(edges: DataFrame, k: int) -> DataFrame:
 def with_previous(edges: DataFrame) -> DataFrame:
     order = Window.partitionBy("src").orderBy("time", "dst")
     rows = edges.withColumn("prev", F.lag("dst").over(order)).withColumn("prev_time", F.lag("time").over(order))
-    return rows.withColumn("gap", F.greatest(F.col("time") - F.col("prev_time"), F.lit(0)))
+    return rows.withColumn("gap", F.when(F.col("prev_time").isNotNull(), F.greatest(F.col("time") - F.col("prev_time"), F.lit(0))))
 
 
 def transitions(edges: DataFrame, keep_same: bool = True) -> DataFrame:

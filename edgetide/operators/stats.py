@@ -85,8 +85,8 @@ class History:
         from pyspark.sql import Window
 
         order = Window.partitionBy("src").orderBy("time", "dst")
-        gap = F.greatest(F.col("time") - F.lag("time").over(order), F.lit(0))
-        rows = self.edges.withColumn("gap", gap)
+        before = F.lag("time").over(order)
+        rows = self.edges.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.col("time") - before, F.lit(0))))
         return rows.groupBy("src").agg(
             F.count("*").alias("n"), F.countDistinct("dst").alias("unique_dst"), (1.0 - F.countDistinct("dst") / F.count("*")).alias("repeat_rate"),
             F.coalesce(F.avg("gap"), F.lit(0.0)).alias("avg_gap"), F.max("time").alias("last"),

@@ -98,7 +98,7 @@ def pair_stats(spark, d):
     return View(spark, d, "mid").history.pair_stats()
 
 
-@query(f"""WITH {base_sql('rep')}, g AS (SELECT *, greatest(time - lag(time) OVER (PARTITION BY src ORDER BY time, dst), 0) AS gap FROM h)
+@query(f"""WITH {base_sql('rep')}, g0 AS (SELECT *, time - lag(time) OVER (PARTITION BY src ORDER BY time, dst) AS g FROM h), g AS (SELECT *, CASE WHEN g IS NOT NULL THEN greatest(g, 0) END AS gap FROM g0)
     SELECT src, count(*) AS n, count(DISTINCT dst) AS unique_dst, round(1.0 - count(DISTINCT dst) / count(*), 6) AS repeat_rate, round(coalesce(avg(gap), 0), 3) AS avg_gap, max(time) AS last FROM g GROUP BY src""")
 def src_stats(spark, d):
     return rounded(View(spark, d, "rep").history.src_stats()).withColumn("avg_gap", F.round("avg_gap", 3))
@@ -341,7 +341,7 @@ def _lp(x: str) -> str:
 
 def _rule18_sql(view: str) -> str:
     return f"""{_joined_sql(view)}, a AS (SELECT qid, src, time, pos, dst, label, {_lp('dn')} / ld AS pop, {_lp('recent80')} / ld AS recent_pop,
-        greatest(least({_lp('recent80')} - {_lp('older80')}, 5), -5) / 5 AS trend, coalesce(1 / (1 + greatest(time - dlast, 0) / span), 0) AS recency, coalesce(1.0 / rr, 0) AS src_recent_score,
+        greatest(least({_lp('recent80')} - {_lp('older80')}, 5), -5) / 5 AS trend, CASE WHEN dlast IS NULL THEN 0 ELSE 1 / (1 + greatest(time - dlast, 0) / span) END AS recency, coalesce(1.0 / rr, 0) AS src_recent_score,
         CAST(pn IS NOT NULL AS DOUBLE) AS pair_seen, {_lp('pn')} / lp AS pair_count, {_lp('sn')} / ls AS src_degree, {_lp('least(sn, 200)')} / ls AS src_hist_len, {_lp('dn')} / ld AS dst_degree,
         CAST(dn IS NOT NULL AS DOUBLE) AS dst_seen, CAST(sn IS NOT NULL AS DOUBLE) AS src_seen, CASE WHEN dn IS NULL THEN 1 ELSE ln(1 + greatest(time - dlast, 0)) / ln(1 + span) END AS dst_time_gap,
         CAST(dn IS NULL AS DOUBLE) AS dst_unknown FROM j, (SELECT ld, ls, lp, span FROM sc)),
@@ -375,7 +375,7 @@ _G21 = [f for f in features.GRAPH21 if f not in ("svd", "profile", "rank_svd", "
     hop AS (SELECT lk.src, t.next AS dst, sum(t.w / sqrt(lk.r)) AS hop FROM lk JOIN t ON t.prev = lk.dst JOIN (SELECT DISTINCT src, dst FROM c) o ON o.src = lk.src AND o.dst = t.next WHERE lk.r <= 24 GROUP BY ALL),
     tf AS (SELECT dst, count(*) AS tn FROM c GROUP BY dst),
     a AS (SELECT j.qid, j.src, j.time, j.pos, j.dst, j.label, {_lp('dn')} / ld AS pop, {_lp('recent82')} / lr82 AS recent_pop, greatest(least({_lp('recent82')} - ln(1 + coalesce(mid82, 0) + coalesce(older82, 0) * 0.25), 5), -5) / 5 AS trend,
-        coalesce(1 / (1 + greatest(j.time - dlast, 0) / span), 0) AS recency, coalesce(1 / sqrt(rr), 0) AS src_recent_exact, {_lp('pn')} / lp AS pair_log, CAST(dn IS NOT NULL AS DOUBLE) AS dst_known,
+        CASE WHEN dlast IS NULL THEN 0 ELSE 1 / (1 + greatest(j.time - dlast, 0) / span) END AS recency, coalesce(1 / sqrt(rr), 0) AS src_recent_exact, {_lp('pn')} / lp AS pair_log, CAST(dn IS NOT NULL AS DOUBLE) AS dst_known,
         {_lp('tn')} / greatest(ln(1 + (SELECT max(tn) FROM tf)), 1) AS candidate_seen_in_test, coalesce(hop, 0) AS transition
         FROM j LEFT JOIN hop ON hop.src = j.src AND hop.dst = j.dst LEFT JOIN tf ON tf.dst = j.dst, (SELECT ld, lp, lr82, span FROM sc)),
     b AS (SELECT *, least(pop, 0.72) AS degree_cap FROM a), g AS (SELECT *, degree_cap + 1.15 * recent_pop + 0.50 * trend + 0.65 * recency + 0.10 * transition - 0.28 * pair_log - 0.08 * src_recent_exact - 0.80 * (1 - dst_known) AS rule FROM b),
@@ -403,13 +403,13 @@ def _builder_sql() -> str:
     prune = lambda n, x: f"{n} AS (SELECT prev, next, w FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY round(w, 9) DESC, next) AS r FROM {x}) WHERE r <= 300)"
     decay = lambda n, last, beta: f"coalesce(CASE WHEN {n} > 0 THEN ln(1 + {n}) * exp(-{beta} * greatest(j.time - {last}, 0) / span * 100) END, 0)"
     gap = lambda x: f"coalesce(ln(1 + greatest(j.time - {x}, 0)), 0)"
-    rec = lambda x: f"coalesce(1 / (1 + greatest(j.time - {x}, 0) / span * 20), 0)"
+    rec = lambda x: f"CASE WHEN {x} IS NULL THEN 0 ELSE 1 / (1 + greatest(j.time - {x}, 0) / span * 20) END"
     return f"""{_joined_sql('rep', 100)}, {_CN}, y AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time, dst) AS i, row_number() OVER (PARTITION BY src ORDER BY time DESC, dst DESC) AS back, lag(dst) OVER (PARTITION BY src ORDER BY time, dst) AS prv FROM h),
         tn AS (SELECT prv AS prev, dst AS next, CAST(count(*) AS DOUBLE) AS w FROM y WHERE prv IS NOT NULL GROUP BY ALL), tr AS (SELECT next AS prev, prev AS next, w FROM tn), z AS (SELECT * FROM y WHERE back <= 300),
         co AS (SELECT a.dst AS prev, b.dst AS next, sum(1.0 / (b.i - a.i)) AS w FROM z a JOIN z b ON a.src = b.src AND a.i < b.i AND b.i - a.i <= 8 WHERE a.dst <> b.dst GROUP BY ALL), cr AS (SELECT next AS prev, prev AS next, w FROM co),
         {prune('t', 'tn')}, {prune('rt', 'tr')}, {prune('cc', 'co')}, {prune('rc', 'cr')}, {hop('t', 't')}, {hop('rt', 'rt')}, {hop('c', 'cc')}, {hop('rc', 'rc')},
         ld AS (SELECT src, dst AS last_dst FROM lk WHERE r = 1), sm AS (SELECT src, dst, count(*) AS mn, sum(pow(r, -0.7)) AS md FROM lk WHERE r <= 100 GROUP BY ALL), u20 AS (SELECT src, count(DISTINCT dst) AS u FROM lk WHERE r <= 20 GROUP BY src),
-        ss AS (SELECT src, count(DISTINCT dst) AS uq, 1.0 - count(DISTINCT dst) / count(*) AS rp, coalesce(avg(g), 0) AS gp FROM (SELECT *, greatest(time - lag(time) OVER (PARTITION BY src ORDER BY time, dst), 0) AS g FROM h) GROUP BY src),
+        ss AS (SELECT src, count(DISTINCT dst) AS uq, 1.0 - count(DISTINCT dst) / count(*) AS rp, coalesce(avg(g), 0) AS gp FROM (SELECT *, CASE WHEN g0 IS NOT NULL THEN greatest(g0, 0) END AS g FROM (SELECT *, time - lag(time) OVER (PARTITION BY src ORDER BY time, dst) AS g0 FROM h)) GROUP BY src),
         f45 AS (SELECT j.qid, j.pos, j.dst, j.label, 1.0 AS bias, CAST(pn IS NOT NULL AS DOUBLE) AS has_pair, CAST(pn IS NULL AS DOUBLE) AS is_new_pair, {_lp('pn')} AS pair_count, {_lp('precent')} AS pair_recent_count, {rec('plast')} AS pair_recency, {gap('plast')} AS pair_time_gap,
             {decay('pn', 'plast', 0.02)} AS edge_decay, {', '.join(f'CAST(coalesce(rr <= {k}, false) AS DOUBLE) AS in_recent_{k}' for k in (5, 10, 20, 50))}, {_lp('mn')} AS recent_count, coalesce(md, 0) AS recent_decay_count, coalesce(1.0 / rr, 0) AS recent_rank_score,
             CAST(coalesce(ld.last_dst = j.dst, false) AS DOUBLE) AS is_last_dst, CAST(dn IS NOT NULL AS DOUBLE) AS dst_seen, {_lp('dn')} AS dst_popularity, {_lp('j.recent20')} AS dst_recent_popularity, {_lp('recent10')} AS dst_recent_popularity_10, {_lp('recent05')} AS dst_recent_popularity_05,
@@ -487,7 +487,7 @@ def repeat_final(spark, d):
     return rounded(rows.select("qid", "pos", "dst", "final", "prob"))
 
 
-_FAST = f"""CASE WHEN dn IS NULL THEN -8.0 ELSE 1.10 * {_lp('dn')} / ld + 1.35 * {_lp('recent80')} / lr80 + 0.55 * greatest(least({_lp('recent80')} - {_lp('older80')}, 5), -5) / 5 + 0.65 * coalesce(1 / (1 + greatest(time - dlast, 0) / span), 0)
+_FAST = f"""CASE WHEN dn IS NULL THEN -8.0 ELSE 1.10 * {_lp('dn')} / ld + 1.35 * {_lp('recent80')} / lr80 + 0.55 * greatest(least({_lp('recent80')} - {_lp('older80')}, 5), -5) / 5 + 0.65 * CASE WHEN dlast IS NULL THEN 0 ELSE 1 / (1 + greatest(time - dlast, 0) / span) END
     + 0.12 * coalesce(1.0 / rr, 0) - 0.35 * CAST(pn IS NOT NULL AS DOUBLE) END"""
 
 
@@ -497,7 +497,7 @@ def fast_rule(spark, d):
     return rounded(scoring.fast_rule(v.lists, v.history))
 
 
-@query(f"WITH {_joined_sql('mid')} SELECT qid, src, time, pos, dst, label, round(coalesce(3.0 / rr, 0) + coalesce(1 / (1 + greatest(time - dlast, 0) / span), 0), 6) AS score FROM j, (SELECT span FROM sc)")
+@query(f"WITH {_joined_sql('mid')} SELECT qid, src, time, pos, dst, label, round(coalesce(3.0 / rr, 0) + CASE WHEN dlast IS NULL THEN 0 ELSE 1 / (1 + greatest(time - dlast, 0) / span) END, 6) AS score FROM j, (SELECT span FROM sc)")
 def recency_score(spark, d):
     v = View(spark, d, "mid")
     return rounded(scoring.recency_score(v.lists, v.history))
@@ -827,3 +827,40 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(f"WITH {_rule18_sql('new')}, {_RR.format(s='rule_score')}, {_SOFT}, am AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rule_score, 9) DESC, pos) AS r FROM f18) WHERE r = 1) SELECT am.qid, am.src, am.time, am.dst, am.label, round(am.rule_score, 6) AS rule_score, round(pb.prob, 6) AS prob, round(1.0 / (1 + greater), 6) AS rr_optimistic FROM am JOIN pb ON pb.qid = am.qid AND pb.pos = am.pos JOIN rr ON rr.qid = am.qid", "flagship")(flagship)
+
+
+# Learners: fitted on the earlier half of the validation lists, scored on the later; no SQL
+
+def _halves(spark, d) -> tuple[View, DataFrame, DataFrame]:
+    v = View(spark, d, "rep")
+    rows = features.listwise_extras(features.rule18(v.lists, v.history), v.history)
+    cut = order.exact_percentiles(v.queries, "qid", [0.5])[0]
+    return v, rows.filter(F.col("qid") <= cut), rows.filter(F.col("qid") > cut)
+
+
+def _report(scored: DataFrame, name: str) -> DataFrame:
+    return rounded(evaluate.metrics(scored, "model").withColumn("learner", F.lit(name)))
+
+
+@query()
+def gbt_rank(spark, d):
+    from ..operators import models
+
+    _, train, test = _halves(spark, d)
+    return _report(models.boosted(train, features.RULE18, 10, 3).score(test), "gbt")
+
+
+@query()
+def logistic_rank(spark, d):
+    from ..operators import models
+
+    _, train, test = _halves(spark, d)
+    return _report(models.logistic(train, features.RULE18 + features.LISTWISE).score(test), "logistic")
+
+
+@query()
+def listwise_mlp(spark, d):
+    from ..operators import models
+
+    _, train, test = _halves(spark, d)
+    return _report(models.ListwiseMLP(features.RULE18 + features.LISTWISE).fit(train).score(test), "listwise")

@@ -24,7 +24,8 @@ class View:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return order.with_seq(self.edges)
+        # every statistic starts from these rows; equal plans share one cached copy
+        return order.with_seq(self.edges).persist()
 
     @cached_property
     def split(self) -> tuple[DataFrame, DataFrame]:
