@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, with_unique_names
 
-LAST = "￿"
+LAST = chr(0x10FFFF)  # sorts after any other character
 RULES = "host string, path string, action string"
 
 

@@ -18,6 +18,7 @@ empty archives. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -59,7 +60,7 @@ def chunked(body: Column, chunk_bytes: int) -> Column:
     return F.concat(joined, F.lit("0" + RECORD_END).cast("binary"))
 
 
-def records(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int = 16_384, chunk_bytes: int = 8_192) -> DataFrame:
+def records(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int = 32_768, chunk_bytes: int = 8_192) -> DataFrame:
     """value: the bytes of every record, without the two line ends that close it."""
     source = with_unique_names(pages, "page_id", "html").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b"")).alias("body"))
     rows = source.select("page_id", "body", F.octet_length("body").cast("long").alias("n"), F.sha1("body").alias("sha1"))
@@ -97,10 +98,11 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int = 1
     return parts.select(F.concat(head.cast("binary"), F.col("part")).alias("value"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 1_000, **sizes: int) -> None:
-    """Archives of at most `records_per_file` records, so of bounded size: a record's block is at most a segment."""
+def write(pages: DataFrame, path: str, records_per_file: int = 1_000, compression: str = "gzip", **sizes: int) -> None:
+    """Archives of at most `records_per_file` records, so of bounded size: a record's block is at most a segment. compression: gzip (a file is
+    one member) or none."""
     out = records(pages, **sizes).select(F.col("value").cast("string"))
-    out.write.option("maxRecordsPerFile", records_per_file).option("lineSep", RECORD_END).text(path)
+    out.write.option("maxRecordsPerFile", records_per_file).option("lineSep", RECORD_END).option("compression", compression).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,8 +150,18 @@ def payload(kind: str, block: bytes, stated: str) -> tuple[int, bytes, str]:
     return len(body), body, "ok" if ok else "another digest than stated"
 
 
-ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, status string"
+ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, status string, payload binary"
 PART = "origin string, kind string, uri string, digest string, refers string, segment int, total long, block binary"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = [_KINDS[x.split(" ")[1]] for x in schema.split(", ")]
+    return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], _names(schema))
 
 
 def _id(uri: str | None) -> int | None:
@@ -159,39 +171,29 @@ def _id(uri: str | None) -> int | None:
 
 def _row(kind: str, uri: str, digest: str, refers: str | None, block: bytes, with_payload: bool) -> tuple:
     n, body, status = payload(kind, block, digest)
-    return (_id(uri), n, digest.removeprefix("sha1:"), kind, _id(refers) if kind == "revisit" else None, status, *([body] if with_payload else []))
+    return (_id(uri), n, digest.removeprefix("sha1:"), kind, _id(refers) if kind == "revisit" else None, status, body if with_payload else None)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Every record of the archives, whole: page_id, payload_bytes, payload_digest, record_type, refers_to, status[, payload]."""
+    """Every record of the archives, whole: page_id, payload_bytes, payload_digest, record_type, refers_to, status[, payload]. Whole records
+    are judged where they are parsed; only segments are written and shuffled."""
     prepare(spark, 2)  # a row is an archive
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    names = [x.split(" ")[0] for x in PART.split(", ")]
-    kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
+    n_row, n_part = len(_names(ROW)), len(_names(PART))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 rows = []
-                for h, block in parse(content):
-                    number = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
-                    origin = h.get("warc-segment-origin-id", h["warc-record-id"])
-                    total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
-                    rows.append((origin, h["warc-type"], h.get("warc-target-uri", ""), h.get("warc-payload-digest", ""), h.get("warc-refers-to-target-uri"), number, total, block))
+                for h, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                    about = (h["warc-type"], h.get("warc-target-uri", ""), h.get("warc-payload-digest", ""), h.get("warc-refers-to-target-uri"))
+                    if "warc-segment-number" in h:
+                        total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
+                        rows.append((*[None] * n_row, h.get("warc-segment-origin-id", h["warc-record-id"]), *about, int(h["warc-segment-number"]), total, block))
+                    else:
+                        rows.append((*_row(*about, block, with_payload), *[None] * n_part))
                 for k in range(0, len(rows), 200):
-                    yield pa.record_batch([pa.array([r[j] for r in rows[k : k + 200]], kinds[j]) for j in range(8)], names)
-
-    schema = ROW + ", payload binary" * with_payload
-    out_names = [x.split(" ")[0] for x in schema.split(", ")]
-    out_kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[j] for r in rows], out_kinds[j]) for j in range(len(out_names))], out_names)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("kind", "uri", "digest", "refers", "block")}
-            yield batch_of([_row(*x, with_payload) for x in zip(*c.values(), strict=True)])
+                    yield _batch(rows[k : k + 200], f"{ROW}, {PART}")
 
     def reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -205,8 +207,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
             first, numbers, block = own[0], [r[5] for r in own], b"".join(r[7] for r in own)
             row = _row(*first[1:5], block, with_payload)
             if len(held) != copies * len(own) or numbers != list(range(1, len(own) + 1)) or own[-1][6] != len(block) or held[copies - 1 :: copies] != own:
-                row = (*row[:5], "segments are missing or differ", *row[6:])
-            yield batch_of([row] * copies)
+                row = (*row[:5], "segments are missing or differ", row[6])
+            yield _batch([row] * copies, ROW)
             held.clear()
 
         for batch in batches:
@@ -216,11 +218,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                 held.append(row)
         yield from close()
 
-    table = written(files.mapInArrow(parts, PART), "records")
+    table = written(files.mapInArrow(parts, f"{ROW}, {PART}"), "records")
     prepare(spark, 200)
-    alone = table.filter("segment is null").mapInArrow(whole, schema)
-    segments = table.filter("segment is not null").repartition(F.col("origin")).sortWithinPartitions("origin", "segment")
-    return alone.unionByName(segments.mapInArrow(reassembled, schema))
+    alone = table.filter("segment is null").select(*_names(ROW))
+    segments = table.filter("segment is not null").select(*_names(PART)).repartition(F.col("origin")).sortWithinPartitions("origin", "segment")
+    out = alone.unionByName(segments.mapInArrow(reassembled, ROW))
+    return out if with_payload else out.drop("payload")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ PAGES = [(1, "<p>same</p>"), (2, "<p>same</p>"), (3, "<p>é</p>" * 9000), (4, No
 
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(k, h, "x") for k, h in PAGES], "page_id long, html string, total string")
-    warc.write(pages, f"file://{tmp_path}/a")
+    warc.write(pages, f"file://{tmp_path}/a", compression="none", segment_bytes=16_384)
     got = warc.read(spark, f"file://{tmp_path}/a", with_payload=True).collect()
     assert {r.status for r in got} == {"ok"} and len(got) == len(PAGES)
     import base64
@@ -135,12 +135,15 @@ def test_archives_round_trip(spark, tmp_path):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in got), key=str) == sorted(want, key=str)
     kinds = [h["warc-type"] for p in tmp_path.glob("a/part-*") for h, _ in warc.parse(p.read_bytes())]
     assert kinds.count("continuation") > 3
+    warc.write(pages, f"file://{tmp_path}/z")
+    again = warc.read(spark, f"file://{tmp_path}/z", with_payload=True).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got)) and all(p.suffix == ".gz" for p in tmp_path.glob("z/part-*"))
 
 
 def test_missing_segments_are_named(spark, tmp_path):
     pages = spark.createDataFrame([(1, "y" * 60_000), (2, "z" * 60_000), (2, "z" * 60_000)], "page_id long, html string")
     (tmp_path / "b").mkdir()
-    rows = [bytes(r.value) for r in warc.records(pages).collect()]
+    rows = [bytes(r.value) for r in warc.records(pages, segment_bytes=16_384).collect()]
     gone = next(k for k, r in enumerate(rows) if b"WARC-Segment-Number: 2\r\n" in r and b"x-page:1>" not in r and b"x-page:1\r" in r)
     (tmp_path / "b/part-0.warc").write_bytes(b"".join(r + b"\r\n\r\n" for k, r in enumerate(rows) if k != gone))
     got = sorted((r.page_id, r.status, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/b").collect())
