@@ -24,7 +24,7 @@ _WORD_BYTES = bytes(
 )
 
 
-def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
+def prepare(spark: SparkSession, batch_rows: int = 250) -> None:
     """Small Arrow batches (texts may be long), and this package on executors that don't share the driver's path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     context = spark.sparkContext
@@ -103,10 +103,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 class WordHashes(dict):
+    LIMIT = 100_000
+
     """64-bit hashes of words, kept while a batch of texts is read."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > self.LIMIT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

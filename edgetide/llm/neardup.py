@@ -209,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     spark = docs.sparkSession
-    prepare(spark, 500)
+    prepare(spark)
     keys = [f"k{t}" for t in range(forest.trees)]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = written(signed_rows(docs, forest), "signed")

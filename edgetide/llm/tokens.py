@@ -49,7 +49,7 @@ def _cuts(text: str) -> list[str]:
 class Pieces(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 700_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -95,7 +95,7 @@ class Pieces(dict):
         at, size = 0, 0
         for k, text in enumerate(texts):
             size += len(text or "")
-            if size > 2_000_000 or k + 1 == len(texts):
+            if size > 1_000_000 or k + 1 == len(texts):
                 out += self._some(texts[at : k + 1])
                 at, size = k + 1, 0
         return out

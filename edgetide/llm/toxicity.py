@@ -40,7 +40,7 @@ class Settings:
 class Vocabulary(dict):
     """Word -> row of `hashes`: of the word and its two stems."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self):
         super().__init__()
