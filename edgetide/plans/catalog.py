@@ -342,7 +342,7 @@ def _lp(x: str) -> str:
 def _rule18_sql(view: str) -> str:
     return f"""{_joined_sql(view)}, a AS (SELECT qid, src, time, pos, dst, label, {_lp('dn')} / ld AS pop, {_lp('recent80')} / ld AS recent_pop,
         greatest(least({_lp('recent80')} - {_lp('older80')}, 5), -5) / 5 AS trend, CASE WHEN dlast IS NULL THEN 0 ELSE 1 / (1 + greatest(time - dlast, 0) / span) END AS recency, coalesce(1.0 / rr, 0) AS src_recent_score,
-        CAST(pn IS NOT NULL AS DOUBLE) AS pair_seen, {_lp('pn')} / lp AS pair_count, {_lp('sn')} / ls AS src_degree, {_lp('least(sn, 200)')} / ls AS src_hist_len, {_lp('dn')} / ld AS dst_degree,
+        CAST(pn IS NOT NULL AS DOUBLE) AS pair_seen, {_lp('pn')} / lp AS pair_count, {_lp('sn')} / ls AS src_degree, {_lp('least(coalesce(sn, 0), 200)')} / ls AS src_hist_len, {_lp('dn')} / ld AS dst_degree,
         CAST(dn IS NOT NULL AS DOUBLE) AS dst_seen, CAST(sn IS NOT NULL AS DOUBLE) AS src_seen, CASE WHEN dn IS NULL THEN 1 ELSE ln(1 + greatest(time - dlast, 0)) / ln(1 + span) END AS dst_time_gap,
         CAST(dn IS NULL AS DOUBLE) AS dst_unknown FROM j, (SELECT ld, ls, lp, span FROM sc)),
         b AS (SELECT *, 1.10 * pop + 1.35 * recent_pop + 0.55 * trend + 0.65 * recency + 0.12 * src_recent_score - 0.35 * pair_seen - 8 * dst_unknown AS rule_score FROM a),
