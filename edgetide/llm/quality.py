@@ -115,6 +115,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
         def out() -> pa.RecordBatch:
             rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
             rows += [(lang, b"\x00%d" % k, int(v[k])) for lang, v in kinds.items() for k in range(9)]
+            rows += [(lang, b"\x00w", c.total()) for lang, c in held.items()]
             return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
 
         for batch in batches:
@@ -126,7 +127,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
                 for text, of in zip(texts, langs, strict=True):
                     if of == lang:
                         own.update(words_of(text))
-            if sum(map(len, held.values())) > 300_000:
+            if sum(map(len, held.values())) > 100_000:
                 yield out()
                 held, kinds = {}, {}
         if kinds:
@@ -135,21 +136,21 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     source = with_unique_names(docs, "lang", "text").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     table = source.mapInArrow(counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     kind = F.col("word").startswith(F.lit(b"\x00"))
-    total = F.sum(F.when(~kind, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")).alias("words")
+    # marks first, then the commonest words: each task keeps only so many of a language before the exchange
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(kind.desc(), F.desc("n"), "word"))
-    rows = table.select("*", kind.alias("kind"), total).withColumn("rank", rank).filter(F.col("rank") <= limits.common_words + 9).filter(F.col("words") >= limits.reference_words).collect()
+    rows = table.select("*", kind.alias("kind")).withColumn("rank", rank).filter(F.col("rank") <= limits.common_words + 10).collect()
     known: dict[bytes, int] = {}
     out = References(known, [], [], [])
     for lang in sorted({r.lang for r in rows}, key=str):
         own = [r for r in rows if r.lang == lang]
-        classes = np.zeros(9)
-        for r in own:
-            if r.kind:
-                classes[int(bytes(r.word)[1:])] = r.n
+        marks = {bytes(r.word)[1:]: r.n for r in own if r.kind}
+        if marks[b"w"] < limits.reference_words:
+            continue
+        classes = np.array([marks[b"%d" % k] for k in range(9)], float)
         common = sorted((r for r in own if not r.kind), key=lambda r: r.rank)
         out.classes.append(classes[1 : 1 + CLASSES] / classes[1 : 1 + CLASSES].sum())
         out.columns.append(np.array([known.setdefault(bytes(r.word), len(known)) for r in common], np.int64))
-        shares = np.array([r.n for r in common], float) / own[0].words
+        shares = np.array([r.n for r in common], float) / marks[b"w"]
         out.shares.append(np.append(shares, max(0.0, 1 - shares.sum())))
     return out
 
