@@ -79,7 +79,10 @@ def samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     length = (20 + F.pmod(n, F.lit(21))).cast("int")
     coded = F.translate(F.base64(F.unhex(digest)), "=", "")
     random = spark.range(settings.random_samples).select(F.when(n % 3 == 0, F.substring(digest, F.lit(1), length)).otherwise(F.substring(coded, F.lit(1), length)).alias("value"), F.lit(1).alias("random"))
-    some = with_unique_names(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string")).filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(settings.max_documents)
+    texts = with_unique_names(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string")).filter("text is not null")
+    # ids are chosen first, so that only the chosen texts move
+    ids = texts.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_documents)
+    some = texts.join(F.broadcast(ids), "doc_id")
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,15}(?![A-Za-z0-9])"), F.lit(0))
     three = F.transform(F.sequence(F.lit(1), F.floor(F.size("w") / 3).cast("int")), lambda k: F.slice("w", 3 * k - 2, 3))
     some = some.select(words.alias("w")).filter(F.size("w") >= 3)
