@@ -5,6 +5,10 @@ that language. A document's two histograms are compared to every reference by th
 0 to 1) and the nearest reference counts, so that a wrong language mark harms nobody. Short texts have too few
 characters or words for a histogram and pass: the guards are in `Limits`.
 
+A text with none of a reference's common words has a distance that their share alone fixes, its ceiling (0.49 where they
+are 41 % of all words), so the limit by words is a share of each reference's own ceiling. Documents of a language whose
+common words aren't known (too few words, or too small a share) pass by words: those of other languages say nothing.
+
 Words are runs without space and U+0009 to U+000D. Nulls: a null text has no words (and fails the base rule); a null lang
 is a language of its own; a null doc_id is kept. Equal rows are judged each by itself. An empty table has no references and
 no rows. Extra columns are ignored, or kept by `with_verdict`.
@@ -43,6 +47,10 @@ class Limits:
     class_distance: float = 0.35
     class_min_chars: int = 200
     word_distance: float = 0.60
+    #: Of a reference's ceiling: the lesser of both limits holds.
+    word_ceiling: float = 0.91
+    #: Where the common words are less of all words, a short text may have none of them by chance: no reference by words.
+    word_share: float = 0.25
     word_min_words: int = 50
     common_words: int = 100
     #: A language with fewer words in all documents is no reference.
@@ -102,6 +110,13 @@ class References:
     classes: list[np.ndarray]  # shares, for each language
     shares: list[np.ndarray]  # of its own common words, then of all others
     columns: list[np.ndarray]  # its own common words
+    limits: list[float]  # of the distance by words
+    worded: set[str | None]  # languages whose common words are known
+
+
+def ceiling(shares: np.ndarray) -> float:
+    """The distance by words of a text that has none of the common ones."""
+    return float(js_distance(np.eye(len(shares))[-1:], shares)[0])
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> References:
@@ -140,7 +155,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(kind.desc(), F.desc("n"), "word"))
     rows = table.select("*", kind.alias("kind")).withColumn("rank", rank).filter(F.col("rank") <= limits.common_words + 10).collect()
     known: dict[bytes, int] = {}
-    out = References(known, [], [], [])
+    out = References(known, [], [], [], [], set())
     for lang in sorted({r.lang for r in rows}, key=str):
         own = [r for r in rows if r.lang == lang]
         marks = {bytes(r.word)[1:]: r.n for r in own if r.kind}
@@ -149,38 +164,46 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
         classes = np.array([marks[b"%d" % k] for k in range(9)], float)
         common = sorted((r for r in own if not r.kind), key=lambda r: r.rank)
         out.classes.append(classes[1 : 1 + CLASSES] / classes[1 : 1 + CLASSES].sum())
-        out.columns.append(np.array([known.setdefault(bytes(r.word), len(known)) for r in common], np.int64))
         shares = np.array([r.n for r in common], float) / marks[b"w"]
+        if shares.sum() < limits.word_share:
+            continue
+        out.columns.append(np.array([known.setdefault(bytes(r.word), len(known)) for r in common], np.int64))
         out.shares.append(np.append(shares, max(0.0, 1 - shares.sum())))
+        out.worded.add(lang)
+        out.limits.append(min(limits.word_distance, limits.word_ceiling * ceiling(out.shares[-1])))
     return out
 
 
-def distances(texts: list[bytes | None], kinds: np.ndarray, known: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of words for the histogram, and each text's distance to the nearest reference by classes and by words."""
+def distances(texts: list[bytes | None], langs: list[str | None], kinds: np.ndarray, known: References) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words for the histogram, each text's distance to the nearest reference by classes and by words, and whether
+    it is over every reference's limit by words."""
     split = [words_of(x) for x in texts]
     n = np.array([len(x) for x in split], np.int64)
-    if not known.classes:
-        return n, np.zeros(len(texts)), np.zeros(len(texts))
-    width = len(known.words)
-    of = known.words.get
-    found = np.array([k * (width + 1) + of(w, width) for k, x in enumerate(split) for w in x], np.int64)
-    table = np.bincount(found, minlength=len(texts) * (width + 1)).reshape(len(texts), width + 1)
-    by_class = np.min([js_distance(kinds[:, 1 : 1 + CLASSES], q) for q in known.classes], axis=0)
-    by_word = np.min([js_distance(np.column_stack([table[:, c], n - table[:, c].sum(1)]), q) for c, q in zip(known.columns, known.shares, strict=True)], axis=0)
-    return n, by_class, by_word
+    by_class, by_word, over = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    if known.classes:
+        by_class = np.min([js_distance(kinds[:, 1 : 1 + CLASSES], q) for q in known.classes], axis=0)
+    if known.shares:
+        width = len(known.words)
+        of = known.words.get
+        found = np.array([k * (width + 1) + of(w, width) for k, x in enumerate(split) for w in x], np.int64)
+        table = np.bincount(found, minlength=len(texts) * (width + 1)).reshape(len(texts), width + 1)
+        each = np.array([js_distance(np.column_stack([table[:, c], n - table[:, c].sum(1)]), q) for c, q in zip(known.columns, known.shares, strict=True)])
+        by_word = each.min(0)
+        over = (each > np.array(known.limits)[:, None]).all(0) & np.array([x in known.worded for x in langs], bool)
+    return n, by_class, by_word, over
 
 
 SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def scored(texts: list[bytes | None], known: References, limits: Limits, hashes: WordHashes) -> list[pa.Array]:
+def scored(texts: list[bytes | None], langs: list[str | None], known: References, limits: Limits, hashes: WordHashes) -> list[pa.Array]:
     """Columns of SCORES."""
     kinds = class_counts(texts)
     base = np.array([base_counts(x, hashes) for x in texts], np.int64).reshape(-1, 3)
-    n, by_class, by_word = distances(texts, kinds, known)
+    n, by_class, by_word, over = distances(texts, langs, kinds, known)
     chars = kinds[:, 1 : 1 + CLASSES].sum(1)
     failed = (base[:, 0] < 20) | (100 * base[:, 2] > 30 * base[:, 0])
-    far = (chars >= limits.class_min_chars) & (by_class > limits.class_distance) | (n >= limits.word_min_words) & (by_word > limits.word_distance)
+    far = (chars >= limits.class_min_chars) & (by_class > limits.class_distance) | (n >= limits.word_min_words) & over
     return [pa.array(x) for x in (base[:, 0], chars, kinds[:, SYMBOL], base[:, 1], base[:, 2], by_class, by_word, failed, ~failed & ~far)]
 
 
@@ -193,9 +216,9 @@ def judged(docs: DataFrame, limits: Limits = Limits(), known: References | None
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield pa.record_batch([batch.column(0), *scored(as_bytes(batch.column(1)), known, limits, hashes)], [x.split(" ")[0] for x in schema.split(", ")])
+            yield pa.record_batch([batch.column(0), *scored(as_bytes(batch.column(1)), batch.column(2).to_pylist(), known, limits, hashes)], [x.split(" ")[0] for x in schema.split(", ")])
 
-    source = with_unique_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = with_unique_names(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     return source.mapInArrow(rows, schema)
 
 
@@ -203,11 +226,12 @@ def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
     known = references(docs, limits)
     prepare(docs.sparkSession)
-    at = docs.columns.index("text")
+    at, mark = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield batch.filter(scored(as_bytes(batch.column(at)), known, limits, hashes)[-1])
+            langs = [None] * len(batch) if mark is None else batch.column(mark).cast(pa.string()).to_pylist()
+            yield batch.filter(scored(as_bytes(batch.column(at)), langs, known, limits, hashes)[-1])
 
     return docs.mapInArrow(rows, docs.schema)

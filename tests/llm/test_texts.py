@@ -87,6 +87,31 @@ def test_quality_rules_reject_junk_and_keep_prose(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def speech(rng, common, rare, n):
+    """Words of which 41 in 100 are common ones, as in prose."""
+    return " ".join(rng.choice(common) if rng.random() < 0.41 else "".join(rng.choice(rare) for _ in range(3)) for _ in range(n))
+
+
+COMMON = [a + b for a in "thwos" for b in ("e", "is", "at", "en", "ou", "ir", "ey", "ose", "ith", "em", "an", "er", "ot", "un", "ay", "ew", "od", "ug", "al", "ix")]
+RARE = [a + b for a in ("ban", "cor", "del", "fin", "gar", "hul") for b in ("am", "ek", "il", "op", "ur", "ya")]
+
+
+def kept_of(spark, rows):
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {k for k, x in got.items() if x}
+    return [got[k] for k in range(len(rows))]
+
+
+def test_letters_only_gibberish_is_far_by_words(spark):
+    rng = random.Random(8)
+    prose = [(speech(rng, COMMON, RARE, 200), "en") for _ in range(60)]
+    gibberish = [(" ".join("".join(rng.choice(RARE) for _ in range(3)) for _ in range(200)), "en") for _ in range(3)]
+    # no common word is known of a language of few words, or where words hardly recur
+    others = [(" ".join(f"{rng.choice(RARE)}{rng.choice(RARE)}{k}x{j}" for j in range(200)), lang) for k, lang in enumerate(["fi"] * 3 + ["zh"] * 15)]
+    assert kept_of(spark, prose + gibberish + others) == [True] * 60 + [False] * 3 + [True] * 18
+
+
 def test_js_distance_of_equal_and_disjoint_shares():
     assert quality.js_distance(np.array([[2.0, 2, 0]]), np.array([0.5, 0.5, 0]))[0] == pytest.approx(0)
     assert quality.js_distance(np.array([[4.0, 0, 0]]), np.array([0, 0.5, 0.5]))[0] == pytest.approx(1)
