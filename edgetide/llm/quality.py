@@ -2,8 +2,12 @@
 
 A reference has a language's shares of character classes and of its most common words, counted over all documents of
 that language. A document's two histograms are compared to every reference by the Jensen-Shannon distance (base 2, so
-0 to 1) and the nearest reference counts, so that a wrong language mark harms nobody. Short texts have too few
-characters or words for a histogram and pass: the guards are in `Limits`.
+0 to 1) and the nearest reference counts, so that a wrong language mark harms nobody whose language is in the table. Short
+texts have too few characters or words for a histogram and pass: the guards are in `Limits`.
+
+Every language has a reference by classes for its own documents, however few they are: its counts are smoothed by those of
+plain prose in its own script, so that a rare language isn't measured by others' letters and a few junk texts don't vouch
+for themselves. Languages of `reference_words` count for documents of all languages, too.
 
 A text with none of a reference's common words has a distance that their share alone fixes, its ceiling (0.49 where they
 are 41 % of all words), so the limit by words is a share of each reference's own ceiling. Documents of a language whose
@@ -40,6 +44,8 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: Shares of LOWER to WIDE in plain prose of a Latin script; letters of other scripts are WIDE.
+_PROSE = np.array([0.93, 0.03, 0.01, 0.03, 0, 0, 0])
 
 
 @dataclass(frozen=True)
@@ -53,8 +59,10 @@ class Limits:
     word_share: float = 0.25
     word_min_words: int = 50
     common_words: int = 100
-    #: A language with fewer words in all documents is no reference.
+    #: A language with fewer words in all documents is no reference for others, and none by words.
     reference_words: int = 2_000
+    #: Characters of plain prose added to each language's own.
+    prose_chars: int = 2_500
 
 
 def repeated_words(words: list[bytes], hashes: WordHashes, width: int = 8) -> int:
@@ -107,13 +115,23 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class References:
     words: dict[bytes, int]  # common words of all languages: their columns
-    classes: list[np.ndarray]  # shares, for each language
+    classes: list[np.ndarray]  # shares, for each language that counts for all
+    own: dict[str | None, np.ndarray]  # shares, for each language
     shares: list[np.ndarray]  # of its own common words, then of all others
     columns: list[np.ndarray]  # its own common words
     limits: list[float]  # of the distance by words
     worded: set[str | None]  # languages whose common words are known
 
 
+def smoothed(counts: np.ndarray, chars: int) -> np.ndarray:
+    """Shares of character classes, with so many characters of plain prose in the script of the counted letters."""
+    letters = counts[[LOWER - 1, WIDE - 1]]
+    prose = _PROSE.copy()
+    if letters.sum():
+        prose[[LOWER - 1, WIDE - 1]] = prose[LOWER - 1] * letters / letters.sum()
+    return (counts + chars * prose) / (counts.sum() + chars)
+
+
 def ceiling(shares: np.ndarray) -> float:
     """The distance by words of a text that has none of the common ones."""
     return float(js_distance(np.eye(len(shares))[-1:], shares)[0])
@@ -155,15 +173,16 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(kind.desc(), F.desc("n"), "word"))
     rows = table.select("*", kind.alias("kind")).withColumn("rank", rank).filter(F.col("rank") <= limits.common_words + 10).collect()
     known: dict[bytes, int] = {}
-    out = References(known, [], [], [], [], set())
+    out = References(known, [], {}, [], [], [], set())
     for lang in sorted({r.lang for r in rows}, key=str):
         own = [r for r in rows if r.lang == lang]
         marks = {bytes(r.word)[1:]: r.n for r in own if r.kind}
+        classes = np.array([marks[b"%d" % k] for k in range(9)], float)
+        out.own[lang] = smoothed(classes[1 : 1 + CLASSES], limits.prose_chars)
         if marks[b"w"] < limits.reference_words:
             continue
-        classes = np.array([marks[b"%d" % k] for k in range(9)], float)
         common = sorted((r for r in own if not r.kind), key=lambda r: r.rank)
-        out.classes.append(classes[1 : 1 + CLASSES] / classes[1 : 1 + CLASSES].sum())
+        out.classes.append(out.own[lang])
         shares = np.array([r.n for r in common], float) / marks[b"w"]
         if shares.sum() < limits.word_share:
             continue
@@ -179,9 +198,9 @@ def distances(texts: list[bytes | None], langs: list[str | None], kinds: np.ndar
     it is over every reference's limit by words."""
     split = [words_of(x) for x in texts]
     n = np.array([len(x) for x in split], np.int64)
-    by_class, by_word, over = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    if known.classes:
-        by_class = np.min([js_distance(kinds[:, 1 : 1 + CLASSES], q) for q in known.classes], axis=0)
+    by_word, over = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    own = np.array([known.own.get(x, _PROSE) for x in langs]).reshape(-1, CLASSES)
+    by_class = np.min([js_distance(kinds[:, 1 : 1 + CLASSES], q) for q in (own, *known.classes)], axis=0)
     if known.shares:
         width = len(known.words)
         of = known.words.get

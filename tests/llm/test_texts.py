@@ -112,6 +112,17 @@ def test_letters_only_gibberish_is_far_by_words(spark):
     assert kept_of(spark, prose + gibberish + others) == [True] * 60 + [False] * 3 + [True] * 18
 
 
+def test_a_rare_language_is_kept_at_any_size_of_the_table(spark):
+    rng = random.Random(9)
+    latin = [(speech(rng, COMMON, RARE, 200), "en") for _ in range(60)]
+    letters = "абвгдежзиклмнопрстуфхцчшыьэюя"
+    cyrillic = [(" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(300)), "ru") for _ in range(40)]
+    junk = " ".join(f"&&{k} ### $$" for k in range(90))
+    for rows in (latin + cyrillic[:5], cyrillic[:5], latin + cyrillic, latin[:5]):
+        for lang in ("en", "ru", None):
+            assert kept_of(spark, [*rows, (junk, lang)]) == [True] * len(rows) + [False]
+
+
 def test_js_distance_of_equal_and_disjoint_shares():
     assert quality.js_distance(np.array([[2.0, 2, 0]]), np.array([0.5, 0.5, 0]))[0] == pytest.approx(0)
     assert quality.js_distance(np.array([[4.0, 0, 0]]), np.array([0, 0.5, 0.5]))[0] == pytest.approx(1)
