@@ -108,12 +108,11 @@ def signed_rows(docs: DataFrame, forest: Forest) -> DataFrame:
     return source.mapInArrow(rows, ", ".join(f"{x} long" for x in names))
 
 
-def linked(ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, weights: np.ndarray, tree: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verify the pairs of one block pair. left: True for its first block; if all are, pairs inside it. Returns each member's
-    links, weighted by the other's copies, and its least partner's root (an index)."""
+def linked(ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, weights: np.ndarray, tree: int, threshold: float, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Verify the pairs of one block pair. left: True for its first block; inside: the pairs of that block itself. Returns each
+    member's links, weighted by the other's copies, and its least partner's root (an index)."""
     n, lengths = len(sets), np.array([len(x) for x in sets])
     links, parent = np.zeros(n, np.int64), np.arange(n)
-    inside = bool(left.all())
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(n), lengths)
     order = np.argsort(every, kind="stable")
@@ -163,10 +162,12 @@ def _verified(members: DataFrame, forest: Forest) -> DataFrame:
             if len(held) > 1:
                 ids = np.array([r[4:6] for r in held])
                 left = np.array([r[6] for r in held], bool)
-                if left.any() and (left.all() or not left.all()):
+                inside = held[0][1] == held[0][2]
+                # of two blocks one may be empty: the pairs inside the other are counted in its own
+                if inside or left.any() and not left.all():
                     sets = [np.frombuffer(r[9], "<u8") for r in held]
                     keys = np.array([r[8] for r in held], np.int64)
-                    links, roots = linked(ids, left, sets, keys, np.array([r[7] for r in held], np.int64), held[0][3], forest.threshold)
+                    links, roots = linked(ids, left, sets, keys, np.array([r[7] for r in held], np.int64), held[0][3], forest.threshold, inside)
                     out.extend((*held[k][4:6], int(links[k]), *held[int(roots[k])][4:6]) for k in np.flatnonzero(links))
             held.clear()
 

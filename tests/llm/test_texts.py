@@ -154,6 +154,15 @@ def test_join_against_brute_force(spark, corpus, forest):
     assert got == brute_join(corpus)
 
 
+def test_pairs_beside_an_empty_block_count_once(spark):
+    rng = random.Random(10)
+    texts = [x for k in range(12) for base in [" ".join(f"{k}x{rng.random()}" for _ in range(100))] for x in (base, base + " tail")]
+    # two blocks for each pair of near copies: of twelve pairs some have both members in one
+    forest = neardup.Forest(block_grams=300)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.joined(frame(spark, texts), forest).collect()}
+    assert got == brute_join(texts) and {n for _, n in got.values()} == {1}
+
+
 def test_deduplicated_keeps_one_of_each_class(spark, corpus):
     want = {k for k, (c, _) in brute_join(corpus).items() if c == k}
     rows = [(k, t, "x") for k, t in enumerate(corpus)]
