@@ -1,9 +1,11 @@
 """Near duplicates: a Jaccard join of word five-grams through a MinHash LSH forest, verified exactly.
 
 A text's five-grams form a set (a text of one to four words is one gram). Texts with equal sets are a class, found by a
-128-bit digest, and only classes are joined. A class has a path of `depth` minima in each of `trees` prefix tries. The
-matched prefix starts at full depth and is shortened until a pair at the threshold shares one in some tree with the
-target recall; sorting the prefixes brings the members of a trie node together. Nodes are verified with the exact sets:
+128-bit digest, and only classes are joined. A class has a path of minima in each of `trees` prefix tries, of which a
+prefix of fixed length is hashed and matched: the longest, up to `depth`, with which a pair at the threshold shares a node in
+some tree with the target recall (4 of 8 by default, so 16 x 4 banding). Trying longer prefixes first, as a search for nearest
+neighbours does, would save nothing here: every pair over the threshold must be found, and nodes of the longer prefixes lie
+within those of the shorter. Grouping by the hashes brings the members of a node together. They are verified with the exact sets:
 a pair counts in the first tree whose node it shares, nodes all of whose members share an earlier one are left out, and
 a large node is dealt out as pairs of blocks of bounded size. Nothing is capped, and pairs are counted where they are
 found, so a node of thousands of near copies makes a row for each member and block pair, not for each pair.
@@ -60,8 +62,8 @@ def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], forest: Forest) -> np.ndarray:
-    """Minima of each set, a row for each hash function (trees times depth)."""
-    n = forest.trees * forest.depth
+    """Minima of each set, a row for each hash function (trees times depth); only those in the prefixes are computed."""
+    n, prefix = forest.trees * forest.depth, forest.prefix()
     out = np.full((n, len(sets)), np.iinfo(np.uint32).max, np.uint32)
     full = [k for k, x in enumerate(sets) if len(x)]
     if not full:
@@ -71,7 +73,8 @@ def signatures(sets: list[np.ndarray], forest: Forest) -> np.ndarray:
     starts = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
     with np.errstate(over="ignore"):
         for j, (a, b) in enumerate(zip(*seeds(n), strict=True)):
-            out[j, full] = np.minimum.reduceat((every ^ b) * a, starts)
+            if j % forest.depth < prefix:
+                out[j, full] = np.minimum.reduceat((every ^ b) * a, starts)
     return out
 
 

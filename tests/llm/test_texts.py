@@ -183,3 +183,11 @@ def test_prefix_is_shortened_to_the_recall():
     forest = neardup.Forest()
     assert forest.prefix() == 4
     assert neardup.Forest(recall=0.5).prefix() > 4
+
+
+def test_only_minima_of_the_prefix_are_computed():
+    forest, none = neardup.Forest(), np.iinfo(np.uint32).max
+    sets = [neardup.grams(f"a b c d e f g h {k}".encode(), 5, WordHashes()) for k in range(9)]
+    used = (neardup.signatures(sets, forest) != none).any(1).reshape(forest.trees, forest.depth)
+    assert used[:, :4].all() and not used[:, 4:].any()
+    assert len(np.unique(neardup.node_keys(sets, forest)[:, 0])) > 1
