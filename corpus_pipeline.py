@@ -7,9 +7,10 @@ Nulls and empty tables go through every stage as its operator says; all but the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgetide.llm import decontamination, neardup, packing, quality, secrets, tokens
-from edgetide.llm.common import load, written
+from edgetide.llm.common import load, with_row_key, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +24,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, by doc_id; rows with a null doc_id stay."""
-    found = decontamination.judged(docs, load(spark, sf_dir, "benchmark"))
-    bad = written(found.filter("contaminated").select("doc_id"), "contaminated")
-    kept = docs.join(bad.filter("doc_id is not null").distinct(), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """Contaminated documents go, each row by its own verdict, whatever its doc_id."""
+    rows, key = with_row_key(docs, "rows")
+    found = decontamination.judged(rows.select(F.col(key).alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
+    bad = written(found.filter("contaminated").select(F.col("doc_id").alias(key)), "contaminated")
+    return rows.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

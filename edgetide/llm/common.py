@@ -69,6 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a written table with a number of its own for each row, and that column's name: verdicts on rows whose doc_id is null
+    or repeated can be told apart."""
+    key = "row_key"
+    while key.lower() in (c.lower() for c in df.columns):
+        key += "_"
+    return written(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def cleanup() -> None:
     """Delete the written tables."""
     while _WRITTEN:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, mix64, prepare, rolling, with_unique_names, words_of, written
+from .common import WordHashes, as_bytes, mix64, prepare, rolling, with_row_key, with_unique_names, words_of, written
 
 
 @dataclass(frozen=True)
@@ -266,10 +266,16 @@ def joined(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One document of each class stays, that of the least doc_id, and of equal rows one. Rows with a null doc_id stay: they can't be
-    told apart."""
-    found = joined(docs, forest).filter("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """One row of each class stays, that of the least doc_id (nulls last). Every row has its own verdict, by a key written with the
+    rows: those with a null or repeated doc_id are judged by their texts like others. Rows without words are no copies and stay, but
+    of equal ones with one doc_id (not null) one."""
+    rows, key = with_row_key(docs, "rows")
+    found = joined(rows.select(F.col(key).alias("doc_id"), "text"), forest).select(F.col("doc_id").alias(key), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))).alias("first")
+    best = written(found.join(rows.select(key, "doc_id"), key).groupBy("class_id").agg(first).select(F.col("first.row").alias(key)), "best")
+    # only keys are compared: the texts move once, and those without words for their groups
+    bare = rows.filter("doc_id is not null").filter(~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).select(key, "doc_id", "text")
+    once = bare.groupBy("doc_id", "text").agg(F.min(key).alias(key)).select(key)
+    again = bare.select(key).join(once, key, "left_anti")
+    kept = written(best.join(again, key, "left_anti"), "kept")
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

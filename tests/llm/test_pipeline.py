@@ -65,6 +65,25 @@ def test_stages_against_plain_rules(spark, tmp_path):
     assert sorted((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.piece) for r in pieces)
 
 
+def test_each_row_has_its_own_verdict(spark, tmp_path):
+    texts, items, _ = corpus()
+    clean, copies, stained = texts[6:10], texts[:6], texts[46:51]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # null ids, and one id for different texts
+    rows = [(None, t) for t in [copies[0], copies[0], stained[0]]] + [(7, t) for t in [copies[1], stained[1], clean[0]]]
+    rows += [(3, copies[1]), (8, copies[2]), (9, copies[2] + " tail"), (9, clean[1]), (5, None), (5, None), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = [(None, copies[0]), (7, copies[1]), (9, copies[2] + " tail"), (5, None)]
+    unique = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    left = list(rows)
+    for x in twice:
+        left.remove(x)
+    assert unique.columns == docs.columns and sorted(map(tuple, unique.collect()), key=str) == sorted(left, key=str)
+    pure = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    want = [x for x in rows if x[1] not in stained]
+    assert pure.columns == docs.columns and sorted(map(tuple, pure.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_of_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
