@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,15 @@ _WORD_BYTES = bytes(
 )
 
 
-def prepare(spark: SparkSession, batch_rows: int = 250) -> None:
-    """Small Arrow batches (texts may be long), and this package on executors that don't share the driver's path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+#: Arrow batches are bounded by bytes, so that a kernel holds little whatever the rows are; a longer row is a batch of its own. The same
+#: for all operators: plans read the settings when they run, maybe after another operator was called.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package on executors that don't share the driver's path."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if context.master.startswith("local") or context.applicationId in _SHIPPED:
         return
@@ -144,14 +149,6 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
-
-
-def signed(column: np.ndarray) -> np.ndarray:
-    return column.view(np.int64)
-
-
 def with_unique_names(df: DataFrame, *needed: str) -> DataFrame:
     """The needed columns only, null of type string where one is missing: extra columns can't clash with ours."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in needed])

@@ -153,7 +153,7 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], width: int
                         pa.array([[{"start": a, "length": b - a} for a, b in x] for x in hits], hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                     ], names)
 
-    prepare(index.sparkSession, 4)
+    prepare(index.sparkSession)
     return index.mapInArrow(rows, "block long, place long, doc_id long, n_words long, hits array<struct<start: long, length: long>>, item_ids array<string>")
 
 

@@ -1,9 +1,9 @@
 """Token-ID files: independent zstandard frames, a trailing seek table and a checksum for each frame.
 
 A file is an ordinary seekable zstandard file. Frame 0 is its index (place of the file, then id, null mark and number
-of tokens of each document); each later frame holds the ids of some whole documents, of about `frame_bytes`. The
-seek table at the end, in a skippable frame, has each frame's compressed and raw size and the low 32 bits of the
-XXH64 of its raw bytes, so that a reader seeks to the frames of the documents it wants and decompresses no others.
+of tokens of each document); each later frame holds the ids of one document (of several whole ones, up to `frame_bytes`, where
+a writer asks for larger frames). The seek table at the end, in a skippable frame, has each frame's compressed and raw size and
+the low 32 bits of the XXH64 of its raw bytes, so that a reader seeks to the frames of the documents it wants and decompresses no others.
 
 Files are written by Spark's own text writer, which reaches any store that Spark reaches: a row is a file without
 its last four bytes, and the line separator is those four bytes, the magic number that ends every seek table.
@@ -35,7 +35,7 @@ INDEX_HEAD = struct.Struct("<4sIIIB")  # mark, partition, file within it, docume
 MARK = b"TIDS"
 
 
-def file_bytes(part: int, chunk: int, doc_ids: list[int | None], ids: list[bytes], frame_bytes: int = 1 << 17) -> bytes:
+def file_bytes(part: int, chunk: int, doc_ids: list[int | None], ids: list[bytes], frame_bytes: int = 0) -> bytes:
     """A whole file; ids are little-endian unsigned 32-bit integers of each document."""
     arrays = [np.frombuffer(x, "<u4") for x in ids]
     narrow = all(x.max(initial=0) < 1 << 16 for x in arrays)
@@ -62,7 +62,7 @@ class Store:
     """Reader of one file; `read(begin, end)` returns its bytes from begin to end."""
 
     def __init__(self, read, size: int):
-        self.read = read
+        self.read, self.unpacker = read, zstandard.ZstdDecompressor()
         frames, flag, magic = struct.unpack("<IBI", read(size - 9, size))
         if magic != SEEK_MAGIC or flag != CHECKSUM_FLAG:
             raise ValueError("the file doesn't end with a seek table")
@@ -86,7 +86,7 @@ class Store:
 
     def frame(self, k: int) -> bytes:
         """One frame, its checksum verified."""
-        raw = zstandard.ZstdDecompressor().decompress(self.read(int(self.at[k]), int(self.at[k + 1])))
+        raw = self.unpacker.decompress(self.read(int(self.at[k]), int(self.at[k + 1])))
         if xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.table[k, 2]:
             raise ValueError(f"frame {k} doesn't have its checksum")
         return raw
@@ -142,33 +142,51 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = tokens.END_I
     out.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<I", SEEK_MAGIC).decode("latin-1")).text(path)
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    prepare(spark)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+
+
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Every document of the files: part, chunk, place, doc_id, n_tokens, ids_crc32[, ids]. All checksums are verified."""
+    return _opened(_files(spark, path), None, with_ids)
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None], with_ids: bool = True) -> DataFrame:
+    """As read(), for the wanted documents alone (a list that the caller holds, so bounded): of each file the index and their frames are
+    decompressed, nothing else. An id with several rows has them all, one without any has none."""
+    return _opened(_files(spark, path), frozenset(doc_ids), with_ids)
+
+
+def _opened(files: DataFrame, wanted: frozenset[int | None] | None, with_ids: bool) -> DataFrame:
     schema = "part long, chunk long, place long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 store = Store(lambda a, b, c=content: c[a:b], len(content))
-                ids = list(store.documents())
+                at = range(len(store.doc_ids)) if wanted is None else [k for k, x in enumerate(store.doc_ids) if x in wanted]
+                ids = list(store.documents() if wanted is None else map(store.document, at))
                 n = len(ids)
-                columns = [[store.part] * n, [store.chunk] * n, range(n), store.doc_ids, [len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids]]
+                columns = [[store.part] * n, [store.chunk] * n, at, [store.doc_ids[k] for k in at], [len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids]]
                 arrays = [pa.array(x, pa.int64()) for x in columns] + ([pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))] if with_ids else [])
                 yield pa.record_batch(arrays, [x.split(" ")[0] for x in schema.split(", ")])
 
-    prepare(spark, 1)  # a file is some megabytes
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(rows, schema)
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """Add start: the number of ids of all documents before. Sums of files are added up, then those within each file."""
-    file = Window.partitionBy("part", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = sums.select("part", "chunk", (F.sum("n").over(before) - F.col("n")).alias("base"))
-    within = rows.withColumn("end", F.sum("n_tokens").over(file))
-    return within.join(bases, ["part", "chunk"]).withColumn("start", F.col("base") + F.col("end") - F.col("n_tokens")).drop("end", "base")
+    """Add start: the number of ids of all documents before. Sums of the writer's partitions are added up, then those of the files within
+    each, then documents within each file: the window that isn't partitioned runs over a row for each partition."""
+    def below(table: DataFrame, by: list[str], order: str, n: str, name: str) -> DataFrame:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return table.withColumn(name, F.sum(n).over(upto) - F.col(n))
+
+    files = rows.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n"))
+    parts = below(files.groupBy("part").agg(F.sum("n").alias("n")), [], "part", "n", "base").select("part", "base")
+    files = below(files, ["part"], "chunk", "n", "first").join(parts, "part").select("part", "chunk", (F.col("first") + F.col("base")).alias("base"))
+    within = below(rows, ["part", "chunk"], "place", "n_tokens", "within").join(files, ["part", "chunk"])
+    return within.withColumn("start", F.col("base") + F.col("within")).drop("within", "base")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -177,5 +195,4 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     path = new_path(spark, "token-store")
     write(docs, path, tokenizer)
     rows = written(read(spark, path, with_ids=False), "token-rows")
-    prepare(spark)
     return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")

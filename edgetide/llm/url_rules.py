@@ -53,7 +53,7 @@ def bounds_of(keys: DataFrame, ranges: int) -> list[str]:
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     spark = pages.sparkSession
-    prepare(spark, 10_000)
+    prepare(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = split_url(F.col("url"))
     urls = with_unique_names(pages, "page_id", "url").select(F.col("page_id").cast("long"), F.col("url").cast("string")).select("page_id", host.alias("host"), path.alias("path"))

@@ -177,7 +177,7 @@ def _row(kind: str, uri: str, digest: str, refers: str | None, block: bytes, wit
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Every record of the archives, whole: page_id, payload_bytes, payload_digest, record_type, refers_to, status[, payload]. Whole records
     are judged where they are parsed; only segments are written and shuffled."""
-    prepare(spark, 2)  # a row is an archive
+    prepare(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     n_row, n_part = len(_names(ROW)), len(_names(PART))
 
@@ -219,7 +219,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
         yield from close()
 
     table = written(files.mapInArrow(parts, f"{ROW}, {PART}"), "records")
-    prepare(spark, 200)
     alone = table.filter("segment is null").select(*_names(ROW))
     segments = table.filter("segment is not null").select(*_names(PART)).repartition(F.col("origin")).sortWithinPartitions("origin", "segment")
     out = alone.unionByName(segments.mapInArrow(reassembled, ROW))

@@ -80,6 +80,16 @@ def test_store_round_trip_order_and_ties(spark):
     assert sorted((r.doc_id, r.ids_crc32) for r in rows) == want
 
 
+def test_lookup_by_doc_id(spark, tmp_path):
+    texts, ids = ODD + ["same", "other"], [*range(len(ODD)), 3, None]
+    path = f"{tmp_path}/store"
+    token_store.write(frame(spark, texts, ids), path, tokens.default_path(), file_tokens=40)
+    want = sorted((str(i), plain_ids(t)) for i, t in zip(ids, texts) if i in (3, 5, None))
+    got = token_store.lookup(spark, path, [3, 5, None, 10_000]).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == want
+    assert sorted((str(r.doc_id), r.ids) for r in token_store.read(spark, path).collect()) == sorted((str(i), plain_ids(t)) for i, t in zip(ids, texts))
+
+
 def test_empty_tables_and_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none, tokens.default_path()).count() == 0
