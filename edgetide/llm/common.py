@@ -66,11 +66,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For rows of megabytes: sizes are checked at each row, and a reader holds some megabytes at once.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def written(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

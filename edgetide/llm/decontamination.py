@@ -4,7 +4,8 @@ The index is split by documents: a block holds the postings of some whole docume
 the block, documents apart by a gap. So building needs no shuffle, a frequent term has a bounded list in each block,
 and lost blocks are built again from their own documents. A test window is looked up from its rarest term: the positions
 in that term's list, adjusted by the offset in the window, are kept while each next rarer term has a position at its
-own offset (exact phrase) or within `slop` words of it (proximity).
+own offset (exact phrase) or within `slop` words of it (proximity). The index is written once, and any number of benchmarks can be
+searched in it; one of more than `part_bytes` is searched in parts of that size, whose hits are merged, so that no task holds more.
 
 Words are runs of digits, letters and characters above 0x7F; A-Z count as a-z. A window has 13 consecutive words of an
 item; an item of fewer words, but not none, is one window. A document word in any occurrence of a window is hit, and a
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, with_unique_names, words_of
+from .common import as_bytes, prepare, with_unique_names, words_of, written
 
 GAP = 64  # positions between two documents of a block; slop must be smaller
 INDEX = "block long, doc_ids array<long>, n_words array<long>, terms array<binary>, ends array<long>, postings array<int>"
@@ -37,7 +39,7 @@ class _Terms(dict):
         return value
 
 
-def build_index(docs: DataFrame, block_words: int = 1 << 19) -> DataFrame:
+def build_index(docs: DataFrame, block_words: int = 1 << 18) -> DataFrame:
     """Blocks of whole documents with their postings, of about `block_words` words each."""
     prepare(docs.sparkSession)
 
@@ -118,15 +120,29 @@ def find(terms: dict[bytes, int], ends: np.ndarray, postings: np.ndarray, phrase
     return there[row[good]], first[good]
 
 
-def search(index: DataFrame, items: list[tuple[object, str | None]], width: int = 13, slop: int = 0) -> DataFrame:
-    """Every document with its hits: doc_id, n_words, hits array<struct<start, length>> (words, merged), item_ids (sorted strings)."""
-    if not 0 <= slop < GAP // 2:
-        raise ValueError(f"slop must be less than {GAP // 2}")
+HITS = "block long, place long, doc_id long, n_words long, hits array<struct<start: long, length: long>>, item_ids array<string>"
+_HIT = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+
+def _hit_rows(block, place, ids, n_words, hits: list[list[tuple[int, int]]], found: list[set[str]]) -> pa.RecordBatch:
+    """A row of HITS for each document; hits are (begin, end), of which those that touch are merged."""
+    spans = []
+    for each in hits:
+        out: list[list[int]] = []
+        for begin, end in sorted(each):
+            if out and begin <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([begin, end])
+        spans.append([{"start": x, "length": y - x} for x, y in out])
+    columns = [pa.array(block, pa.int64()), pa.array(place, pa.int64()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, _HIT), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+    return pa.record_batch(columns, ["block", "place", "doc_id", "n_words", "hits", "item_ids"])
+
+
+def _search(index: DataFrame, items: list[tuple[object, str | None]], width: int, slop: int) -> DataFrame:
     of_window = windows(items, width)
     phrases, owners = list(of_window), [sorted(x) for x in of_window.values()]
     lengths = np.array([len(p) for p in phrases], np.int64)
-    names = ["block", "place", "doc_id", "n_words", "hits", "item_ids"]
-    hit = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,37 +154,58 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], width: int
                 starts = np.cumsum(n_words + GAP) - n_words - GAP
                 hits: list[list[tuple[int, int]]] = [[] for _ in ids]
                 found: list[set[str]] = [set() for _ in ids]
-                for w, at in sorted(zip(which.tolist(), first.tolist(), strict=True), key=lambda x: x[1]):
-                    d = int(np.searchsorted(starts, at, "right")) - 1
-                    # empty documents at the same place lie before; those in between have no words
-                    begin, end = at - int(starts[d]), min(at - int(starts[d]) + int(lengths[w]), int(n_words[d]))
-                    if hits[d] and begin <= hits[d][-1][1]:
-                        hits[d][-1] = (hits[d][-1][0], max(hits[d][-1][1], end))
-                    else:
-                        hits[d].append((begin, end))
+                # empty documents at the same place lie before; those in between have no words
+                of = (np.searchsorted(starts, first, "right") - 1).tolist()
+                for w, at, d in zip(which.tolist(), first.tolist(), of, strict=True):
+                    begin = at - int(starts[d])
+                    hits[d].append((begin, min(begin + int(lengths[w]), int(n_words[d]))))
                     found[d].update(owners[w])
-                yield pa.record_batch(
-                    [
-                        pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()),
-                        pa.array([[{"start": a, "length": b - a} for a, b in x] for x in hits], hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-                    ], names)
+                yield _hit_rows([block] * len(ids), range(len(ids)), ids, n_words, hits, found)
 
     prepare(index.sparkSession)
-    return index.mapInArrow(rows, "block long, place long, doc_id long, n_words long, hits array<struct<start: long, length: long>>, item_ids array<string>")
+    return index.mapInArrow(rows, HITS)
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """The hits of several searches of one index as one: of every document's spans the union, and all its items."""
+    if len(parts) == 1:
+        return parts[0]
+    every = reduce(DataFrame.unionByName, parts)
+    # a row of each part for every document: groups have as many rows as there are parts
+    held = every.groupBy("block", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[(h["start"], h["start"] + h["length"]) for h in x] for x in batch.column(4).to_pylist()]
+            yield _hit_rows(*(batch.column(j).to_pylist() for j in range(4)), hits, [set(x) for x in batch.column(5).to_pylist()])
+
+    return held.mapInArrow(rows, HITS)
 
 
-def bounded_items(benchmark: DataFrame, most_bytes: int = 64 << 20) -> list[tuple[object, str | None]]:
-    """The items on the driver; they go to every task, so their size is checked first."""
-    rows = with_unique_names(benchmark, "item_id", "text").select("item_id", F.col("text").cast("string"))
-    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; search it in parts of at most {most_bytes} and merge their hits")
-    return [tuple(r) for r in rows.collect()]
+def search(index: DataFrame, benchmark: DataFrame | list[tuple[object, str | None]], width: int = 13, slop: int = 0, part_bytes: int = 4 << 20) -> DataFrame:
+    """Every document of a written index with its hits: block, place, doc_id, n_words, hits array<struct<start, length>> (words, merged),
+    item_ids (sorted strings). benchmark: a table of item_id and text, or a list of such pairs."""
+    if not 0 <= slop < GAP // 2:
+        raise ValueError(f"slop must be less than {GAP // 2}")
+    if isinstance(benchmark, list):
+        return _search(index, benchmark, width, slop)
+    items = with_unique_names(benchmark, "item_id", "text").select("item_id", F.col("text").cast("string"))
+    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    n = max(1, -(-2 * size // part_bytes))
+    if size <= part_bytes:
+        return _search(index, [tuple(r) for r in items.collect()], width, slop)
+    # parts by a hash of the rows, of about half the bytes; each comes to the driver when its search is planned
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return merged([_search(index, [tuple(r) for r in items.filter(part == k).collect()], width, slop) for k in range(n)])
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    found = search(build_index(docs), bounded_items(benchmark), width)
+    return verdicts(search(written(build_index(docs), "postings", large_rows=True), benchmark, width))
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """The rule of the contract on the rows of a search."""
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     rows = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

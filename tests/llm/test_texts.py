@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from edgetide.llm import decontamination, neardup, quality
-from edgetide.llm.common import WordHashes
+from edgetide.llm.common import WordHashes, words_of
 
 WORDS = [f"w{k}" for k in range(60)] + ["été", "Straße", "ZU", "don't", "a-b"]
 
@@ -45,6 +45,19 @@ def test_decontamination_against_brute_force(spark, corpus):
     assert any(x[-1] for x in want.values()) and not all(x[-1] for x in want.values())
 
 
+def test_a_written_index_is_searched_in_parts(spark, corpus, tmp_path):
+    rng = random.Random(16)
+    items = [(k, " ".join(rng.choice(corpus[:60]).split()[3:22])) for k in range(40)] + [(40, text(rng, 30)), (None, "w1 w2"), (None, "w1 w2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    decontamination.build_index(frame(spark, corpus + ["w3 " * 60_000 + items[0][1] + " w4" * 60_000]), block_words=500).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    whole = sorted(map(str, decontamination.search(index, bench).collect()))
+    assert sorted(map(str, decontamination.search(index, bench, part_bytes=300).collect())) == whole
+    got = {r.doc_id: tuple(r)[1:] for r in decontamination.verdicts(decontamination.search(index, bench, part_bytes=300)).collect()}
+    assert got[len(corpus)][0] == 120_000 + len(words_of(items[0][1].encode())) and got[len(corpus)][1] > 12
+    assert {k: got[k] for k in range(len(corpus))} == {k: decontamination.brute_force(t, items) for k, t in enumerate(corpus)}
+
+
 def test_proximity_finds_words_moved_apart(spark):
     docs = spark.createDataFrame([(1, "the quick red brown fox"), (2, "quick brown fox"), (3, "fox brown quick far " + "x " * 50 + "quick")], "doc_id long, text string")
     items = [(1, "quick brown fox")]
