@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from edgetide.functions import scalars as S
@@ -217,3 +218,31 @@ def test_scalars(spark):
     for call in (lambda: S.blends("2"), lambda: S.positive_int(0, "n"), lambda: S.non_negative(-1, "x"), lambda: S.one_of("a", ["b"], "x")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_numbers_of_many_rows_with_wide_columns(spark):
+    n = 1_500_000
+    wide = F.when(F.col("id") % 7 == 0, F.repeat(F.lit("x"), 40)).otherwise(F.lit(""))
+    rows = spark.range(n).select((F.col("id") * 7919 % 1009).alias("src"), (F.col("id") * 104729 % 5003).alias("dst"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100_003).cast("long").alias("time"), wide.alias("split"))
+    got = order.with_seq(rows)
+    assert tuple(got.agg(F.count("*"), F.countDistinct("seq"), F.min("seq"), F.max("seq")).head()) == (n, n, 1, n)
+    step = got.select("time", "src", "dst", F.lag(F.struct("time", "src", "dst")).over(Window.partitionBy(F.floor(F.col("seq") / 50_000)).orderBy("seq")).alias("before"))
+    assert step.filter(F.col("before") > F.struct("time", "src", "dst")).count() == 0
+    train, valid = order.split_official(rows.withColumn("split", F.lit("0")))
+    assert train.count() + valid.count() == n and train.count() == int(n * 0.85)
+    assert set(got.columns) == {*rows.columns, "seq"}
+
+
+def test_prefix_of_nulls_text_and_nothing(spark):
+    rows = spark.createDataFrame([("b", 2), (None, 1), ("a", None), ("b", 3), ("", 5)], "k string, v int")
+    got = order.with_prefix(rows, ("k", "v"), F.coalesce("v", F.lit(0)), "upto", ranges=3)
+    assert [tuple(r) for r in got.orderBy("k", "v").collect()] == [(None, 1, 1), ("", 5, 6), ("a", None, 6), ("b", 2, 8), ("b", 3, 11)]
+    assert order.with_prefix(rows.limit(0), ("k",), F.lit(1), "upto").count() == 0
+
+
+def test_area_under_the_curve_of_many_rows(spark):
+    rows = spark.range(1_500_000).select((F.col("id") * 7919 % 1_000_003 / 1_000_003).alias("score"), (F.hash("id") % 3 == 0).alias("label"), F.repeat(F.lit("y"), 20).alias("wide"))
+    frame = rows.select("score", "label").toPandas()
+    ranks, pos = frame.score.rank().to_numpy(), frame.label.to_numpy()
+    want = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert abs(evaluate.roc_auc(rows) - want) < 1e-6
