@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -135,21 +136,56 @@ def test_archives_round_trip(spark, tmp_path):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in got), key=str) == sorted(want, key=str)
     kinds = [h["warc-type"] for p in tmp_path.glob("a/part-*") for h, _ in warc.parse(p.read_bytes())]
     assert kinds.count("continuation") > 3
-    warc.write(pages, f"file://{tmp_path}/z")
+    warc.write(pages, f"file://{tmp_path}/z", file_bytes=60_000)
     again = warc.read(spark, f"file://{tmp_path}/z", with_payload=True).collect()
-    assert sorted(map(str, again)) == sorted(map(str, got)) and all(p.suffix == ".gz" for p in tmp_path.glob("z/part-*"))
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    # each record is a gzip member, as the library for gzip files reads them, and ids are unique
+    records = [m for p in tmp_path.glob("z/part-*") for m in warc.members(p.read_bytes()) if m]
+    assert b"".join(records) == b"".join(gzip.decompress(p.read_bytes()) for p in tmp_path.glob("z/part-*"))
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and len(list(warc.parse(m))) == 1 for m in records)
+    heads = [next(warc.parse(m))[0] for m in records]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(records) >= len(PAGES)
+    for h in heads:
+        if "warc-refers-to" in h:
+            assert ids[h["warc-refers-to"]]["warc-target-uri"] == h["warc-refers-to-target-uri"]
 
 
 def test_missing_segments_are_named(spark, tmp_path):
     pages = spark.createDataFrame([(1, "y" * 60_000), (2, "z" * 60_000), (2, "z" * 60_000)], "page_id long, html string")
     (tmp_path / "b").mkdir()
     rows = [bytes(r.value) for r in warc.records(pages, segment_bytes=16_384).collect()]
-    gone = next(k for k, r in enumerate(rows) if b"WARC-Segment-Number: 2\r\n" in r and b"x-page:1>" not in r and b"x-page:1\r" in r)
+    gone = next(k for k, r in enumerate(rows) if b"WARC-Segment-Number: 2\r\n" in r and b"x-page:1\r" in r)
     (tmp_path / "b/part-0.warc").write_bytes(b"".join(r + b"\r\n\r\n" for k, r in enumerate(rows) if k != gone))
     got = sorted((r.page_id, r.status, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/b").collect())
     assert got[0][1] == "segments are missing or differ" and got[1:] == [(2, "ok", 60_000)] * 2
 
 
+def test_damaged_records_are_named_and_others_read(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"<p>{k}</p>" * 9) for k in range(6)], "page_id long, html string")
+    rows = [bytes(r.value) + b"\r\n\r\n" for r in warc.records(pages).collect()]
+    length = next(k for k, r in enumerate(rows) if b"x-page:2\r" in r)
+    digest = next(k for k, r in enumerate(rows) if b"x-page:4\r" in r)
+    rows[length] = rows[length].replace(b"Content-Length: ", b"Content-Length: 9")
+    rows[digest] = rows[digest].replace(b"<p>4</p>", b"<p>5</p>", 1)
+    for name, content in (("plain", b"".join(rows)), ("gzip", b"".join(gzip.compress(r) for r in rows)), ("cut", b"".join(rows)[:-30])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_bytes(content)
+        got = {r.page_id: r.status for r in warc.read(spark, f"file://{tmp_path}/{name}").collect()}
+        bad = {"plain": 2, "gzip": 2, "cut": 3}[name]
+        assert got[None] == "a record doesn't end where its length says" and got[4] == "another digest than stated"
+        assert [s for k, s in got.items() if k not in (None, 4)] == ["ok"] * (6 - bad)
+    broken = bytearray(b"".join(gzip.compress(r) for r in rows))
+    at = len(gzip.compress(rows[0])) + 40
+    broken[at : at + 8] = bytes(8)
+    (tmp_path / "member").mkdir()
+    (tmp_path / "member/part-0").write_bytes(bytes(broken))
+    states = [r.status for r in warc.read(spark, f"file://{tmp_path}/member").collect()]
+    assert states.count("a damaged gzip member") == 1 and len(states) == 6
+    with pytest.raises(ValueError):
+        warc.dechunk(b"zz\r\n")
+
+
 def test_archives_of_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
