@@ -2,16 +2,19 @@
 
 A host's labels reversed make a key in which a host and all its subdomains are neighbours: a rule's host is an
 interval of keys. URLs and the starts of intervals are sorted by key, and one sweep over a partition keeps a stack
-of the nested intervals that hold the current key; the rules of the stack whose path is a prefix of the URL's fit,
-and the longest (host and path together, then host, then allow before block) wins.
+of the nested intervals that hold the current key. Paths are intervals, too: a stack entry holds its host's rules sorted by path,
+each with the next shorter path that is its own prefix, so that the longest that fits is found by bisection and a few steps
+outwards, however many rules a host has. Of the entries' finds the longest (host and path together, then host, then allow
+before block) wins.
 
 Partitions are ranges of keys. Where a host has more rows than a range should, several ranges begin at its key and its
-URLs are dealt among them by a hash. A rule goes to each range that its interval meets, so none is broadcast. Range
-bounds come from a sample of hosts; they steer the work, not the result.
+URLs are dealt among them by a hash of the row and its partition (a task that runs again deals alike). A rule goes to each range that its interval meets, so none is broadcast. Range
+bounds come from a sample of hosts of bounded size (`SAMPLE` for each range); they steer the work, not the result.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased. Path: from there up to `?`, `#` or the end. Nulls: a
 null URL, or one without `://`, has an empty host and path, which no rule fits; null page_ids are kept. Equal rows are judged
-each by itself. Without rules every verdict is the default. Extra columns are ignored.
+each by itself, however many (they are dealt out like others). Very long URLs are compared whole. Without rules every verdict is the
+default. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .common import prepare, with_unique_names
 
 LAST = chr(0x10FFFF)  # sorts after any other character
 RULES = "host string, path string, action string"
+SAMPLE = 50
 
 
 def split_url(url):
@@ -43,13 +47,40 @@ def key_of(host):
 
 
 def bounds_of(keys: DataFrame, ranges: int) -> list[str]:
-    """First keys of ranges 1, 2, ...; a frequent key may come several times. From at most some hundred keys for each range."""
-    want = 200 * ranges
-    n = keys.count()
-    sample = sorted(r[0] for r in keys.sample(min(1.0, 1.2 * want / max(n, 1)), seed=7).limit(4 * want).collect())
+    """First keys of ranges 1, 2, ...; a frequent key may come several times."""
+    sample = sorted(r[0] for r in keys.orderBy(F.rand(7)).limit(SAMPLE * ranges).collect())
     return [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
 
 
+class Paths:
+    """The rules of one host, in the order of their paths."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.rules: list[tuple[str, str]] = []  # host, action
+        self.outer: list[int] = []
+
+    def add(self, path: str, host: str, action: str) -> None:
+        """Paths come in ascending order; of equal ones allow stays."""
+        if self.paths and self.paths[-1] == path:
+            if action == "allow":
+                self.rules[-1] = (host, action)
+            return
+        at = len(self.paths) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        self.outer.append(at)
+        self.paths.append(path)
+        self.rules.append((host, action))
+
+    def longest(self, path: str) -> int:
+        """The place of the longest path that is a prefix of the given one; -1 without any."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return at
+
+
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     spark = pages.sparkSession
@@ -75,7 +106,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: i
             rows = [(*row, k) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in range(bisect_left(bounds, row[3]), bisect_right(bounds, row[3] + LAST) + 1)]
             yield pa.record_batch([pa.array([r[j] for r in rows], pa.int32() if j == 4 else pa.string()) for j in range(5)], ["host", "path", "action", "key", "range"])
 
-    salted = urls.withColumn("salt", F.xxhash64("page_id", "path").bitwiseAND(F.lit(0x7FFFFFFF)))
+    salted = urls.withColumn("salt", F.xxhash64("page_id", "path", F.spark_partition_id()).bitwiseAND(F.lit(0x7FFFFFFF)))
     left = salted.mapInArrow(range_of, "page_id long, host string, path string, key string, range int").withColumn("action", F.lit(None).cast("string"))
     right = own.mapInArrow(ranges_of, "host string, path string, action string, key string, range int").withColumn("page_id", F.lit(None).cast("long"))
     columns = ["range", "key", "kind", "page_id", "host", "path", "action"]
@@ -83,7 +114,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: i
     ordered = events.repartition(ranges, "range").sortWithinPartitions("range", "key", "kind", "path", "page_id")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, list[tuple[str, str, str]]]] = []  # key, rules (path, host, action)
+        stack: list[tuple[str, Paths]] = []
         last = None
         for batch in batches:
             out = []
@@ -94,16 +125,16 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: i
                     stack.pop()
                 if kind == 0:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((path, host, action))
+                        stack.append((key, Paths()))
+                    stack[-1][1].add(path, host, action)
                     continue
                 best = None
                 for _, held in stack:
-                    for own_path, own_host, own_action in held:
-                        if path.startswith(own_path):
-                            rank = (len(own_host) + len(own_path), len(own_host), own_action == "allow")
-                            if best is None or rank > best[0]:
-                                best = (rank, own_host + own_path, own_action)
+                    if (at := held.longest(path)) >= 0:
+                        (own_host, own_action), own_path = held.rules[at], held.paths[at]
+                        rank = (len(own_host) + len(own_path), len(own_host))
+                        if best is None or rank > best[0]:
+                            best = (rank, own_host + own_path, own_action)
                 out.append((page_id, host, path, best[1] if best else None, best[2] if best else default))
             yield pa.record_batch([pa.array([r[j] for r in out], pa.int64() if j == 0 else pa.string()) for j in range(5)], ["page_id", "host", "path", "rule", "verdict"])
 
