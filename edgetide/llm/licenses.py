@@ -1,16 +1,18 @@
 """Licence scans by canonical digest, in DataFrame functions: entire texts are normalised, hashed and joined to known digests.
 
-Normal form: A-Z lower-cased, lines that state a copyright (a mark or the word, and a year) and "all rights reserved" lines
-left out, every run of other characters than letters and digits made one gap, and words of several spellings given
+Normal form: A-Z lower-cased, lines that state a copyright (a mark or the word, and a year; where a licence begins on that line, what
+stands before it) and "all rights reserved" lines left out, every run of other characters than letters and digits made one gap, and words of several spellings given
 one. So a licence is found in any layout, comment style and year, and for any holder, but only if it is the whole text.
 
 Nulls: a null text is empty and has no licence; a null doc_id is kept. Equal rows are looked up each by itself. Two known
-licences of one normal form count as the one of the least id. Empty tables give no rows, or no licences. Extra columns are
-ignored.
+licences of one normal form count as the one of the least id. Very long texts are normalised whole. Empty tables give no rows, or no
+licences. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,15 @@ KNOWN = {
 }
 
 
+#: What licences and their paragraphs begin with, after a statement of copyright on the same line.
+OPENINGS = sorted({" ".join(re.findall(r"[a-z]+", line.lower())[:2]) for text in KNOWN.values() for line in text.split("\n") if re.match("[A-Z]", line)})
+COPYRIGHT_BEFORE = COPYRIGHT_LINE.removesuffix(r"[^\n]*$") + r"[^\n]*?[^a-z0-9\n](" + "|".join(OPENINGS) + r")\b"
+
+
 def normal_form(text: Column) -> Column:
     """Each word with a space before and after it."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    t = F.when(F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")), F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")), F.regexp_replace(F.regexp_replace(t, COPYRIGHT_BEFORE, "$1"), COPYRIGHT_LINE, "")).otherwise(t)
     t = F.when(F.contains(t, F.lit("all rights reserved")), F.regexp_replace(t, RESERVED_LINE, "")).otherwise(t)
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, OTHERS, "  ")), F.lit(" "))
     for word, other in SPELLINGS.items():
@@ -74,11 +81,17 @@ def known_frame(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame
     return rows.select(F.sha2(normal_form(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+#: Known digests up to this number go to every task (about a hundred bytes each); more are joined by shuffle.
+BROADCAST_DIGESTS = 50_000
+
+
 def looked_up(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, n_words and digest of the normal form, license_id (null: none) of every document. `known` has a row for each digest; Spark
-    broadcasts it only while it is small."""
+    """doc_id, n_words and digest of the normal form, license_id (null: none) of every document. `known` has a row for each digest."""
     form = normal_form(F.col("text"))
     rows = with_unique_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), form.alias("form"))
     words = F.when(F.length(F.trim("form")) == 0, 0).otherwise(F.size(F.split(F.trim("form"), "  "))).cast("long")
     rows = rows.select("doc_id", words.alias("n_words"), F.sha2("form", 256).alias("digest"))
+    if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        # texts of one digest, such as empty ones, then meet nowhere
+        known = F.broadcast(known)
     return rows.join(known, "digest", "left").select("doc_id", "n_words", "digest", "license_id")

@@ -104,8 +104,8 @@ def _sql_9() -> str:
 def _sql_10() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     form = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
-    for pattern in (licenses.COPYRIGHT_LINE, licenses.RESERVED_LINE):
-        form = f"regexp_replace({form}, {quoted(pattern)}, '', 'g')"
+    for pattern, other in ((licenses.COPYRIGHT_BEFORE, r"\1"), (licenses.COPYRIGHT_LINE, ""), (licenses.RESERVED_LINE, "")):
+        form = f"regexp_replace({form}, {quoted(pattern)}, '{other}', 'g')"
     form = f"' ' || trim(regexp_replace({form}, {quoted(licenses.OTHERS)}, '  ', 'g')) || ' '"
     for word, other in licenses.SPELLINGS.items():
         form = f"replace({form}, ' {word} ', ' {other} ')"

@@ -223,6 +223,23 @@ def test_url_rules_against_brute_force(spark, ranges):
         assert got[k] == (host, path, rule, verdict), u
 
 
+def test_nested_paths_of_one_host(spark):
+    rng = random.Random(12)
+    part = lambda: "".join(rng.choice("ab/") for _ in range(rng.randint(0, 7)))
+    rules = sorted({(rng.choice(["allow", "block"]), rng.choice(["x.org", "a.x.org", "org"]) + "/" + part()) for _ in range(150)})
+    once = {x: action for action, x in reversed(rules)}  # of equal ones allow
+    urls = [f"http://{rng.choice(['x.org', 'a.x.org', 'b.a.x.org', 'y.org'])}/{part()}{part()}" for _ in range(600)] + ["http://x.org/" + "ab" * 100_000]
+    pages = spark.createDataFrame([(None if k % 50 == 0 else k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = sorted((str(r.page_id), r.rule or "", r.verdict) for r in url_rules.judged(pages, url_rules.rules_frame(spark, rules), ranges=4).collect())
+
+    def best(url):
+        host, _, tail = url[7:].partition("/")
+        fits = [x for x in once if (host == (own := x.partition("/")[0]) or host.endswith("." + own)) and tail.startswith(x.partition("/")[2])]
+        return max(fits, key=lambda x: (len(x), len(x.partition("/")[0])), default="")
+
+    assert got == sorted((str(None if k % 50 == 0 else k), best(u), once.get(best(u), "allow")) for k, u in enumerate(urls))
+
+
 def test_url_rules_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     rules = url_rules.rules_frame(spark, RULES)
@@ -234,9 +251,27 @@ def test_url_rules_of_nothing(spark):
 def test_licenses_in_other_layouts(spark):
     mit = licenses.KNOWN["MIT"]
     framed = "/*\n" + "\n".join(" * " + line for line in mit.split("\n")) + "\n */"
+    bare = licenses.KNOWN["0BSD"]
     texts = [mit, mit.upper().replace("MIT LICENSE\n", "The Licence\n", 1), "MIT Licence\n\nCopyright (c) 2020 A. Nobody\nAll rights reserved.\n" + mit.split("\n", 2)[2], framed, mit + " And more.", "Released under the MIT licence", "", None, "Licensed under CC-BY-NC 4.0"]
+    texts += [f"Copyright (c) 2020 {holder}. {bare}" for holder in ("X", "Foo Inc. and J. Random, foo.org", "A\n")] + [f"// © 2019-2021 Foo\n// {bare}".replace(" software", "\n//  software")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license_id string")
     got = {r.doc_id: r.license_id for r in licenses.looked_up(docs, licenses.known_frame(spark)).collect()}
-    assert got == {0: "MIT", 1: None, 2: "MIT", 3: "MIT", 4: None, 5: "MIT-line", 6: None, 7: None, 8: "CC-BY-NC-4.0-line"}
+    assert got == {0: "MIT", 1: None, 2: "MIT", 3: "MIT", 4: None, 5: "MIT-line", 6: None, 7: None, 8: "CC-BY-NC-4.0-line"} | {k: "0BSD" for k in range(9, 13)}
     assert licenses.looked_up(docs.limit(0), licenses.known_frame(spark)).count() == 0
     assert licenses.looked_up(docs, licenses.known_frame(spark, {"none": "zzz"})).filter("license_id is not null").count() == 0
+
+
+def test_license_query_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    mit, bare = licenses.KNOWN["MIT"], licenses.KNOWN["0BSD"]
+    long = "word " * 200_000
+    texts = [*licenses.KNOWN.values(), f"Copyright (c) 2020 X. {bare}", f"Copyright 1999 Foo Ltd. and others\nAll rights reserved.\n{mit}", f"  (C) 2001 A. B.\n\n{bare}", mit + " more", "", None, long, *[""] * 50, "copyright holders only", "é © 2020 x"]
+    docs = spark.createDataFrame([(k if k % 5 else None, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, digest string, license_id string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op10_license_digests(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, n_words, digest, license_id FROM ({registry.oracle_sql()['op10_license_digests']})").fetchall()
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == sorted(want, key=str) and sum(r[3] is not None for r in rows) >= len(licenses.KNOWN) + 3
