@@ -31,7 +31,9 @@ KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ["assign", "access", "hex", "markov"]
-_SPANS = "array<struct<start: int, kind: int, end: int>>"
+_SPANS = "array<struct<start: int, kind: int, end: int, value: string>>"
+#: Matches are summed in blocks of so many, so that arrays grow within a block and over blocks only.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -44,22 +46,38 @@ class Settings:
     smoothing: float = 0.5
 
 
+def _before(lengths: Column) -> Column:
+    """Of an array of numbers the sum of those before each, by growing an array: for short arrays."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches; those of whose group has fewer than `least` characters are dropped.
+    """Leftmost non-overlapping matches with their texts; those of whose group has fewer than `least` characters are dropped.
 
-    What lies between the matches and the matches themselves, laid end to end, are the text: so their lengths add up to starts."""
+    What lies between the matches and the matches themselves, laid end to end, are the text: so their lengths add up to starts. They are
+    added up in blocks, then over the blocks, so that a text of very many matches costs no square of their number."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), held.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    # the last gap has no match after it
+    rows = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), held.alias("value")), lambda x: x["match"].isNotNull())
+    sized = F.transform(rows, lambda x: F.struct((F.length(x["gap"]) + F.length(x["match"])).alias("n"), F.length(x["match"]).alias("own"), x["match"].alias("match"), (F.length(x["value"]) >= least).alias("good")))
 
-    def step(a: Column, x: Column) -> Column:
-        at = a["at"] + F.length(x["gap"])
-        end = at + F.length(x["match"])
-        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(F.coalesce(end, at).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+    def in_blocks(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(s) - 1) / BLOCK).cast("int"), F.lit(0))), lambda k: F.slice(s, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(block: Column, base: Column) -> Column:
+        starts = _before(F.transform(block, lambda x: x["n"]))
+        one = F.zip_with(block, starts, lambda x, at: F.struct((base + at + x["n"] - x["own"]).alias("start"), F.lit(kind).alias("kind"), (base + at + x["n"]).alias("end"), x["match"].alias("value"), x["good"].alias("good")))
+        return F.transform(F.filter(one, lambda x: x["good"]), lambda x: F.struct(x["start"], x["kind"], x["end"], x["value"]))
 
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+    total = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["n"])
+    return _let(_let(sized, in_blocks), lambda blocks: F.flatten(F.zip_with(blocks, _before(F.transform(blocks, total)), placed))).cast(_SPANS)
 
 
 def _none() -> Column:
@@ -130,12 +148,14 @@ def with_spans(docs: DataFrame, model: list[float], settings: Settings = Setting
         F.when(text.rlike(HEX), spans(text, HEX, 2)).otherwise(_none()),
     )))
     rows = rows.withColumn("runs", F.when(text.rlike(candidate), spans(text, candidate, 3)).otherwise(_none()))
-    rows = rows.withColumn("runs", F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
+    # keys and hex strings are made of a run's own characters, so a run that overlaps one holds it; only assignments are compared by place
+    rows = rows.withColumn("runs", F.filter("runs", lambda r: ~(r["value"].rlike(ACCESS) | r["value"].rlike(HEX))))
+    rows = rows.withColumn("taken", F.filter("base", lambda b: b["kind"] == 0))
+    rows = rows.withColumn("runs", F.filter("runs", lambda r: ~F.exists("taken", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))).drop("taken")
 
     def secret(r: Column) -> Column:
-        n = r["end"] - r["start"]
-        score = ratio(F.substring(text, r["start"] + 1, n), model)
-        return (score >= settings.min_ratio) & (score >= settings.min_mean * n)
+        score = ratio(r["value"], model)
+        return (score >= settings.min_ratio) & (score >= settings.min_mean * (r["end"] - r["start"]))
 
     more = F.when(F.size("runs") > 0, F.filter("runs", secret)).otherwise(F.col("runs"))
     return rows.withColumn("found", F.array_sort(F.concat("base", more))).drop("runs")

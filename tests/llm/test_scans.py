@@ -53,6 +53,43 @@ def test_secret_spans_against_brute_force(spark, prose):
     assert all(got[k].spans == "" for k in range(len(TEXTS), len(TEXTS) + len(prose)))
 
 
+def test_markov_spans_against_a_plain_version(spark, prose):
+    rng = random.Random(21)
+    settings = secrets.Settings()
+    alphabet = secrets.ALPHABET[:-4]
+    token = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(15, 40)))
+    texts = [" ".join([*rng.choice(prose).split()[:30], token(), "under_score_words_of_some_length", token() + ".", f"token={token()}", f"x{HEXES}{token()}", "/usr/" + token()]) for _ in range(30)]
+    texts += [" ".join(token() for _ in range(3_000)) + "é", "é" + ",".join(f"secret={token()}" for _ in range(700)) + " " + token()]
+    docs = frame(spark, texts + prose)
+    model = secrets.train(secrets.samples(docs, settings), settings)
+    size, shown = len(secrets.ALPHABET) + 1, [round(x, 4) for x in model]
+    got = {r.doc_id: r.spans for r in secrets.scanned(docs).collect()}
+    found = 0
+    for k, text in enumerate(texts + prose):
+        base = base_spans(text)
+        more = []
+        for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{settings.min_length},}}", text):
+            codes = [0, *(secrets.ALPHABET.index(c) + 1 for c in m[0])]
+            score = sum(shown[a * size + b] for a, b in zip(codes, codes[1:]))
+            if not any(a < m.end() and m.start() < e for a, _, e in base) and score >= settings.min_ratio and score >= settings.min_mean * len(m[0]):
+                more.append((m.start(), 3, m.end()))
+        assert got[k] == named(sorted(base + more)), k
+        found += len(more)
+    assert found > 2_000
+
+
+def test_markov_models_on_held_out_samples(spark, prose):
+    """Trained on one half of the labelled samples, judged on the other."""
+    settings = secrets.Settings()
+    every = secrets.samples(frame(spark, prose), settings).withColumn("half", F.xxhash64("value") % 2 == 0).cache()
+    model = secrets.train(every.filter("half").drop("half"), settings)
+    score = secrets.ratio(F.col("value"), model)
+    judged = every.filter(~F.col("half") & (F.length("value") >= settings.min_length)).select("random", ((score >= settings.min_ratio) & (score >= settings.min_mean * F.length("value"))).alias("hit"))
+    rate = {r.random: (r.share, r.n) for r in judged.groupBy("random").agg(F.avg(F.col("hit").cast("int")).alias("share"), F.count("*").alias("n")).collect()}
+    assert rate[1][1] > 1_000 and rate[1][0] > 0.95
+    assert rate[0][1] > 30 and rate[0][0] < 0.02
+
+
 def test_ratio_against_a_plain_sum(spark, prose):
     model = secrets.train(secrets.samples(frame(spark, prose)))
     size = len(secrets.ALPHABET) + 1
