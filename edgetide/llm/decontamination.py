@@ -30,7 +30,32 @@ from pyspark.sql import functions as F
 from .common import as_bytes, prepare, with_unique_names, words_of, written
 
 GAP = 64  # positions between two documents of a block; slop must be smaller
-INDEX = "block long, doc_ids array<long>, n_words array<long>, terms array<binary>, ends array<long>, postings array<int>"
+#: terms: joined by spaces, which no word has; counts: of postings of each; postings: each term's positions in order, as gaps. Numbers are
+#: 32-bit, all their lowest bytes first, then the next: small ones, which most are, compress well.
+INDEX = "block long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, postings binary"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(content: bytes) -> np.ndarray:
+    planes = np.frombuffer(content, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _gaps(positions: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each term the first position, then the distances from one to the next."""
+    out = np.diff(positions, prepend=0)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    out[starts] = positions[starts]
+    return out
+
+
+def _positions(gaps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    upto = np.cumsum(gaps)
+    starts = np.cumsum(counts) - counts
+    return upto - np.repeat(np.append(0, upto)[starts], counts)
 
 
 class _Terms(dict):
@@ -56,9 +81,10 @@ def build_index(docs: DataFrame, block_words: int = 1 << 18) -> DataFrame:
             starts = np.cumsum(lengths + GAP) - lengths - GAP
             position = np.arange(len(term)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
             order = np.argsort(term, kind="stable")
-            ends = np.cumsum(np.bincount(term, minlength=len(terms)))
-            columns = [pa.array([block]), *(pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (lengths, pa.int64()), (list(terms), pa.binary()), (ends, pa.int64()), (position[order].astype(np.int32), pa.int32())))]
-            return pa.record_batch(columns, ["block", "doc_ids", "n_words", "terms", "ends", "postings"])
+            counts = np.bincount(term, minlength=len(terms))
+            columns = [pa.array([block]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, lengths))]
+            columns += [pa.array([x], pa.binary()) for x in (b" ".join(terms), _packed(counts), _packed(_gaps(position[order], counts)))]
+            return pa.record_batch(columns, ["block", "doc_ids", "n_words", "terms", "counts", "postings"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -148,8 +174,9 @@ def _search(index: DataFrame, items: list[tuple[object, str | None]], width: int
         for batch in batches:
             for k in range(batch.num_rows):
                 block, ids, n_words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values.to_numpy()
-                terms = {t: j for j, t in enumerate(as_bytes(batch.column(3)[k].values))}
-                ends, postings = batch.column(4)[k].values.to_numpy(), batch.column(5)[k].values.to_numpy()
+                terms = {t: j for j, t in enumerate(batch.column(3)[k].as_py().split())}
+                counts = _unpacked(batch.column(4)[k].as_py())
+                ends, postings = np.cumsum(counts), _positions(_unpacked(batch.column(5)[k].as_py()), counts)
                 which, first = find(terms, ends, postings, phrases, slop) if phrases and len(postings) else (np.empty(0, np.int64),) * 2
                 starts = np.cumsum(n_words + GAP) - n_words - GAP
                 hits: list[list[tuple[int, int]]] = [[] for _ in ids]
