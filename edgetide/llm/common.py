@@ -78,6 +78,31 @@ def written(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Written tables that are deleted at the end of a with block, when what was made of them has been written, too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            dropped(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a written table with a number of its own for each row, and that column's name: verdicts on rows whose doc_id is null
     or repeated can be told apart."""
@@ -92,9 +117,7 @@ def cleanup() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            dropped(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: the folder is the cluster's to clear
             return
 

@@ -58,6 +58,16 @@ def test_a_written_index_is_searched_in_parts(spark, corpus, tmp_path):
     assert {k: got[k] for k in range(len(corpus))} == {k: decontamination.brute_force(t, items) for k, t in enumerate(corpus)}
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 200])
+def test_clean_rows_stay_whatever_their_ids(spark, corpus, part_bytes):
+    items = [(k, " ".join(t.split()[3:19])) for k, t in enumerate(corpus[10:16])]
+    rows = [(k % 7 or None, t, "x", None) for k, t in enumerate(corpus)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, row_key string, block string")
+    got = decontamination.clean(docs, spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes)
+    want = [r for r in rows if not decontamination.brute_force(r[1], items)[-1]]
+    assert got.dtypes == docs.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) < len(rows)
+
+
 def test_proximity_finds_words_moved_apart(spark):
     docs = spark.createDataFrame([(1, "the quick red brown fox"), (2, "quick brown fox"), (3, "fox brown quick far " + "x " * 50 + "quick")], "doc_id long, text string")
     items = [(1, "quick brown fox")]
@@ -193,14 +203,46 @@ def test_join_of_nulls_and_nothing(spark):
 
 
 def test_prefix_is_shortened_to_the_recall():
+    forest, none = neardup.Forest(), [0] * neardup.BANDS
+    assert forest.shortest() == 4 and neardup.Forest(recall=0.5).shortest() == 8
+    # without links, or with few, the prefix is as short as a pair at the threshold needs
+    assert forest.next_depth(none, 8) == 4
+    alike = [*none[:-1], 1_000_000]
+    assert forest.next_depth(alike, 8) == 8
+    near = [1_000, *none[1:-1], 10_000]
+    assert forest.next_depth(near, 8) == 5 == forest.next_depth(near, 5)
+    assert forest.next_depth([1_000, *none[1:-1], 20_000], 8) == 6
+    assert forest.next_depth([1_000, *none[1:]], 8) == 4
+
+
+def test_paths_sort_as_tries_do():
     forest = neardup.Forest()
-    assert forest.prefix() == 4
-    assert neardup.Forest(recall=0.5).prefix() > 4
-
-
-def test_only_minima_of_the_prefix_are_computed():
-    forest, none = neardup.Forest(), np.iinfo(np.uint32).max
-    sets = [neardup.grams(f"a b c d e f g h {k}".encode(), 5, WordHashes()) for k in range(9)]
-    used = (neardup.signatures(sets, forest) != none).any(1).reshape(forest.trees, forest.depth)
-    assert used[:, :4].all() and not used[:, 4:].any()
-    assert len(np.unique(neardup.node_keys(sets, forest)[:, 0])) > 1
+    sets = [neardup.grams(f"a b c d e f g h {k} {k % 3}".encode(), 5, WordHashes()) for k in range(40)] + [np.empty(0, np.uint64)]
+    paths = neardup.paths(sets, forest)
+    high, low = paths[:, :16].astype(object), paths[:, 16:].astype(object)
+    minima = lambda k, t: [int(x >> (48 - 16 * j)) & 0xFFFF for x in (high[k, t], low[k, t]) for j in range(4)]
+    for t in range(16):
+        assert sorted(range(41), key=lambda k: (high[k, t], low[k, t], k)) == sorted(range(41), key=lambda k: (minima(k, t), k))
+    keys = paths.view(np.int64)
+    for d in range(1, 9):
+        assert neardup.shares(keys, 0, d).tolist() == [[minima(k, t)[:d] == minima(0, t)[:d] for t in range(16)] for k in range(41)]
+    equal = np.mean([[minima(i, t)[0] == minima(j, t)[0] for t in range(16)] for i in range(40) for j in range(i)])
+    jaccard = np.mean([len({*sets[i].tolist()} & {*sets[j].tolist()}) / len({*sets[i].tolist()} | {*sets[j].tolist()}) for i in range(40) for j in range(i)])
+    assert abs(equal - jaccard) < 0.1
+
+
+@pytest.mark.parametrize("band", [(0.80, 0.85), (0.85, 0.95)])
+def test_recall_by_band_of_similarity(spark, band):
+    """Of 400 pairs in the band at least nine in ten are found."""
+    rng = random.Random(int(band[0] * 100))
+    texts = []
+    while len(texts) < 800:
+        words = [f"v{rng.randrange(10**9)}" for _ in range(rng.choice([60, 150, 400]))]
+        other = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 40))):
+            other[rng.randrange(len(other))] = f"z{rng.randrange(10**9)}"
+        a, b = ({*neardup.grams(" ".join(x).encode(), 5, WordHashes()).tolist()} for x in (words, other))
+        if band[0] <= len(a & b) / len(a | b) < band[1]:
+            texts += [" ".join(words), " ".join(other)]
+    got = {r.doc_id: r.n_links for r in neardup.joined(frame(spark, texts)).collect()}
+    assert sum(got.values()) >= 0.99 * 800 and {*got.values()} <= {0, 1}
