@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, with_unique_names, words_of, written
+from .common import as_bytes, prepare, with_row_key, with_unique_names, words_of, written
 
 GAP = 64  # positions between two documents of a block; slop must be smaller
 #: terms: joined by spaces, which no word has; counts: of postings of each; postings: each term's positions in order, as gaps. Numbers are
@@ -64,26 +65,77 @@ class _Terms(dict):
         return value
 
 
+@dataclass
+class Block:
+    """Postings of some whole documents: of each term its positions, documents apart by a gap."""
+
+    n_words: np.ndarray
+    terms: list[bytes]
+    counts: np.ndarray
+    postings: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[list[bytes]]) -> "Block":
+        lengths = np.array([len(x) for x in texts], np.int64)
+        terms = _Terms()
+        term = np.array([t for x in texts for t in map(terms.__getitem__, x)], np.int64)
+        starts = np.cumsum(lengths + GAP) - lengths - GAP
+        position = np.arange(len(term)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        return cls(lengths, list(terms), np.bincount(term, minlength=len(terms)), position[np.argsort(term, kind="stable")])
+
+    def hits(self, phrases: "Phrases", slop: int) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+        """Of each document the words in occurrences, as (begin, end), and the items."""
+        hits: list[list[tuple[int, int]]] = [[] for _ in self.n_words]
+        found: list[set[str]] = [set() for _ in self.n_words]
+        if phrases.words and len(self.postings):
+            which, first = find({t: j for j, t in enumerate(self.terms)}, np.cumsum(self.counts), self.postings, phrases.words, slop)
+            starts = np.cumsum(self.n_words + GAP) - self.n_words - GAP
+            # empty documents at the same place lie before; those in between have no words
+            of = (np.searchsorted(starts, first, "right") - 1).tolist()
+            for w, at, d in zip(which.tolist(), first.tolist(), of, strict=True):
+                begin = at - int(starts[d])
+                hits[d].append((begin, min(begin + len(phrases.words[w]), int(self.n_words[d]))))
+                found[d].update(phrases.items[w])
+        return [_union(x) for x in hits], found
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
+
+
+class Phrases:
+    """The distinct windows of some items, each with the ids of its items."""
+
+    def __init__(self, items: list[tuple[object, str | None]], width: int):
+        of_window = windows(items, width)
+        self.words, self.items = list(of_window), [sorted(x) for x in of_window.values()]
+
+
+def contaminated(n_hit, n_words):
+    """The rule of the contract, of columns or numbers."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
 def build_index(docs: DataFrame, block_words: int = 1 << 18) -> DataFrame:
     """Blocks of whole documents with their postings, of about `block_words` words each."""
     prepare(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         ids: list = []
         texts: list[list[bytes]] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            lengths = np.array([len(x) for x in texts], np.int64)
-            terms = _Terms()
-            term = np.array([t for x in texts for t in map(terms.__getitem__, x)], np.int64)
-            starts = np.cumsum(lengths + GAP) - lengths - GAP
-            position = np.arange(len(term)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-            order = np.argsort(term, kind="stable")
-            counts = np.bincount(term, minlength=len(terms))
-            columns = [pa.array([block]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, lengths))]
-            columns += [pa.array([x], pa.binary()) for x in (b" ".join(terms), _packed(counts), _packed(_gaps(position[order], counts)))]
+            block = Block.of(texts)
+            columns = [pa.array([number]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, block.n_words))]
+            columns += [pa.array([x], pa.binary()) for x in (b" ".join(block.terms), _packed(block.counts), _packed(_gaps(block.postings, block.counts)))]
             return pa.record_batch(columns, ["block", "doc_ids", "n_words", "terms", "counts", "postings"])
 
         for batch in batches:
@@ -93,7 +145,7 @@ def build_index(docs: DataFrame, block_words: int = 1 << 18) -> DataFrame:
                 size += len(texts[-1]) + GAP
                 if size >= block_words:
                     yield done()
-                    ids, texts, size, block = [], [], 0, block + 1
+                    ids, texts, size, number = [], [], 0, number + 1
         if ids:
             yield done()
 
@@ -151,43 +203,20 @@ _HIT = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def _hit_rows(block, place, ids, n_words, hits: list[list[tuple[int, int]]], found: list[set[str]]) -> pa.RecordBatch:
-    """A row of HITS for each document; hits are (begin, end), of which those that touch are merged."""
-    spans = []
-    for each in hits:
-        out: list[list[int]] = []
-        for begin, end in sorted(each):
-            if out and begin <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], end)
-            else:
-                out.append([begin, end])
-        spans.append([{"start": x, "length": y - x} for x, y in out])
+    """A row of HITS for each document."""
+    spans = [[{"start": x, "length": y - x} for x, y in each] for each in hits]
     columns = [pa.array(block, pa.int64()), pa.array(place, pa.int64()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, _HIT), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
     return pa.record_batch(columns, ["block", "place", "doc_id", "n_words", "hits", "item_ids"])
 
 
 def _search(index: DataFrame, items: list[tuple[object, str | None]], width: int, slop: int) -> DataFrame:
-    of_window = windows(items, width)
-    phrases, owners = list(of_window), [sorted(x) for x in of_window.values()]
-    lengths = np.array([len(p) for p in phrases], np.int64)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(items, width)
         for batch in batches:
-            for k in range(batch.num_rows):
-                block, ids, n_words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values.to_numpy()
-                terms = {t: j for j, t in enumerate(batch.column(3)[k].as_py().split())}
-                counts = _unpacked(batch.column(4)[k].as_py())
-                ends, postings = np.cumsum(counts), _positions(_unpacked(batch.column(5)[k].as_py()), counts)
-                which, first = find(terms, ends, postings, phrases, slop) if phrases and len(postings) else (np.empty(0, np.int64),) * 2
-                starts = np.cumsum(n_words + GAP) - n_words - GAP
-                hits: list[list[tuple[int, int]]] = [[] for _ in ids]
-                found: list[set[str]] = [set() for _ in ids]
-                # empty documents at the same place lie before; those in between have no words
-                of = (np.searchsorted(starts, first, "right") - 1).tolist()
-                for w, at, d in zip(which.tolist(), first.tolist(), of, strict=True):
-                    begin = at - int(starts[d])
-                    hits[d].append((begin, min(begin + int(lengths[w]), int(n_words[d]))))
-                    found[d].update(owners[w])
-                yield _hit_rows([block] * len(ids), range(len(ids)), ids, n_words, hits, found)
+            for number, ids, n_words, terms, counts, postings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = _unpacked(counts)
+                block = Block(np.array(n_words, np.int64), terms.split(), counts, _positions(_unpacked(postings), counts))
+                yield _hit_rows([number] * len(ids), range(len(ids)), ids, n_words, *block.hits(phrases, slop))
 
     prepare(index.sparkSession)
     return index.mapInArrow(rows, HITS)
@@ -203,12 +232,20 @@ def merged(parts: list[DataFrame]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [[(h["start"], h["start"] + h["length"]) for h in x] for x in batch.column(4).to_pylist()]
+            hits = [_union([(h["start"], h["start"] + h["length"]) for h in x]) for x in batch.column(4).to_pylist()]
             yield _hit_rows(*(batch.column(j).to_pylist() for j in range(4)), hits, [set(x) for x in batch.column(5).to_pylist()])
 
     return held.mapInArrow(rows, HITS)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return with_unique_names(benchmark, "item_id", "text").select("item_id", F.col("text").cast("string"))
+
+
+def _size(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+
+
 def search(index: DataFrame, benchmark: DataFrame | list[tuple[object, str | None]], width: int = 13, slop: int = 0, part_bytes: int = 4 << 20) -> DataFrame:
     """Every document of a written index with its hits: block, place, doc_id, n_words, hits array<struct<start, length>> (words, merged),
     item_ids (sorted strings). benchmark: a table of item_id and text, or a list of such pairs."""
@@ -216,12 +253,12 @@ def search(index: DataFrame, benchmark: DataFrame | list[tuple[object, str | Non
         raise ValueError(f"slop must be less than {GAP // 2}")
     if isinstance(benchmark, list):
         return _search(index, benchmark, width, slop)
-    items = with_unique_names(benchmark, "item_id", "text").select("item_id", F.col("text").cast("string"))
-    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = max(1, -(-2 * size // part_bytes))
+    items = _items(benchmark)
+    size = _size(items)
     if size <= part_bytes:
         return _search(index, [tuple(r) for r in items.collect()], width, slop)
     # parts by a hash of the rows, of about half the bytes; each comes to the driver when its search is planned
+    n = -(-2 * size // part_bytes)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     return merged([_search(index, [tuple(r) for r in items.filter(part == k).collect()], width, slop) for k in range(n)])
 
@@ -232,10 +269,33 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """The rule of the contract on the rows of a search."""
+    """The contract's columns from the rows of a search."""
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     rows = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return rows.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns, each by its own verdict, whatever its doc_id. The index of a
+    block is searched where it is made, so nothing moves; a benchmark of more than `part_bytes` is searched in a written index, whose
+    verdicts come back by a number written with the rows."""
+    items = _items(benchmark)
+    if _size(items) > part_bytes:
+        rows, key = with_row_key(docs, "rows")
+        found = judged(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, width)
+        bad = written(found.filter("contaminated").select(F.col("doc_id").alias(key)), "contaminated")
+        return rows.join(bad, key, "left_anti").select(*docs.columns)
+    held, at = [tuple(r) for r in items.collect()], docs.columns.index("text")
+    prepare(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(held, width)
+        for batch in batches:
+            block = Block.of([words_of(x) for x in as_bytes(batch.column(at).cast(pa.string()))])
+            n_hit = np.array([sum(end - begin for begin, end in x) for x in block.hits(phrases, 0)[0]], np.int64)
+            yield batch.filter(pa.array(~contaminated(n_hit, block.n_words)))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def brute_force(text: str | None, items: list[tuple[object, str | None]], width: int = 13) -> tuple[int, int, int, str, bool]:
@@ -247,4 +307,4 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], width:
                 hit.update(range(k, k + len(phrase)))
                 found |= owners
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    return len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)
+    return len(words), len(hit), len(found), digest, contaminated(len(hit), len(words))
