@@ -1,16 +1,17 @@
 """From raw documents to packed training sequences: five stages, each an operator of edgetide.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next one's docs.
-Nulls and empty tables go through every stage as its operator says; all but the last return the columns of documents.
+All but the last return the columns of documents, whatever they are besides doc_id and text: own columns of the stages have names that
+clash with none. Every row has its own verdict, so repeated rows and rows with a null or repeated doc_id are judged like others (of
+equal texts one row stays). Nulls, very long texts and empty tables go through every stage as its operator says.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from edgetide.llm import decontamination, neardup, packing, quality, secrets, tokens
-from edgetide.llm.common import load, with_row_key, written
+from edgetide.llm.common import load, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go, each row by its own verdict, whatever its doc_id."""
-    rows, key = with_row_key(docs, "rows")
-    found = decontamination.judged(rows.select(F.col(key).alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
-    bad = written(found.filter("contaminated").select(F.col("doc_id").alias(key)), "contaminated")
-    return rows.join(bad, key, "left_anti").select(*docs.columns)
+    return decontamination.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +35,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: a row for each piece of each document."""
-    return packing.pack(docs, tokens.default_path(), packing.Capacity(1024, 1024, 1024 * 1024))
+    """Sequences of at most 1024 tokens and 64 documents: a row for each piece of each document."""
+    return packing.pack(docs, tokens.default_path(), packing.Capacity(1024, 64, 1024 * 1024))
 
 
 STAGES = [
