@@ -8,7 +8,7 @@ demand and residual, among those that hold it under every constraint. The plan's
 the corpus; pieces find their places by their rank among pieces of equal length, which is counted in parallel.
 
 Nulls: a null text is empty and becomes a piece of the end id only; a null doc_id is kept. Equal rows are pieces of their
-own. An empty table gives no pieces. Columns other than doc_id and text are ignored.
+own. Very long texts are cut into pieces whole. An empty table gives no pieces. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -119,16 +119,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int = to
 
 
 def place(table: DataFrame, capacity: Capacity, bucket_rows: int = 50_000) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (deterministic: one that has been written). At most one row of histogram
-    for each length comes to the driver."""
+    """Add sequence_id and offset to a written table of pieces with a number of each in `row`. At most one row of histogram for each
+    length comes to the driver. Pieces of one length are ranked in buckets, dealt by a hash of the row's number, so that even equal rows
+    spread."""
     histogram = {r[0]: r[1] for r in table.groupBy("length").count().collect()}
     placed = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
     order = np.lexsort((placed[:, 1], placed[:, 0]))
     lengths, ranks, _, sequences, offsets = placed[order].T
     keys = (lengths << 44) + ranks
-    buckets = -(-max(histogram.values(), default=1) // bucket_rows)
-    rows = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    most = max(histogram.values(), default=1)
+    buckets = max(-(-most // bucket_rows), min(64, -(-most // 256)))
+    rows = table.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    own = Window.partitionBy("length", "bucket").orderBy("row")
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = counts.select("length", "bucket", (F.sum("n").over(upto) - F.col("n")).alias("base"))
@@ -147,4 +149,4 @@ def place(table: DataFrame, capacity: Capacity, bucket_rows: int = 50_000) -> Da
 
 def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity()) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    return place(written(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return place(written(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
