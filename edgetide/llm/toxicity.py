@@ -5,7 +5,8 @@ neighbouring words and of pairs with one or two words between, all hashed to 2**
 learning rate, and the L1 term leaves most weights at exactly zero, so that the broadcast model is only the others.
 
 The model is fitted in one task on a bounded sample of labelled rows: `Settings.max_rows` of them at most, the least
-by a hash of doc_id where there are more. All documents are scored, whole. Inputs of a score are words alone.
+by a hash of doc_id where there are more, with one text each (where an id has several, the least by its hash). All documents are
+scored, whole, very long ones too. Inputs of a score are words alone.
 
 Nulls: a null text, like an empty one, has the bias for its only feature; rows with a null doc_id, and null labels, teach
 nothing and are never held out. Labels that come twice count as toxic if either is. Equal rows get equal scores. Without
@@ -124,8 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     # at most max_rows rows, the least by hash: small enough to broadcast
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
     texts = with_unique_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    # one text of each id, so that ids bound the rows
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, taught = Vocabulary(), []
@@ -156,12 +158,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], settings: Setti
             ends = np.cumsum([len(x) for x in split])
             total = np.full(len(split), table[-1], np.float64)
             hashes = vocabulary.hashes([w for x in split for w in x])
+            found = [np.empty(0, np.int64)]
             for place, begin in places(hashes, settings.bits, ends) if len(hashes) else []:
                 some = np.flatnonzero(table[place])
-                # a place counts once for each text
-                text = np.searchsorted(ends, begin[some], "right")
-                once = np.unique((text << (settings.bits + 1)) + place[some].astype(np.int64))
-                np.add.at(total, once >> (settings.bits + 1), table[once & ((1 << (settings.bits + 1)) - 1)])
+                found.append((np.searchsorted(ends, begin[some], "right") << (settings.bits + 1)) + place[some].astype(np.int64))
+            # a place counts once for each text, whatever features it is of
+            once = np.unique(np.concatenate(found))
+            np.add.at(total, once >> (settings.bits + 1), table[once & ((1 << (settings.bits + 1)) - 1)])
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], ["doc_id", "held_out", "score"])
 
     source = with_unique_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id").cast("long")).alias("held_out"))

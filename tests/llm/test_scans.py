@@ -136,6 +136,55 @@ def test_toxicity_on_held_out_labels(spark, prose):
     assert got[None].predicted == 1 and not got[None].held_out
 
 
+def test_scores_against_a_plain_learner(spark, prose):
+    """Features and weights one by one, in the order of the rows that teach."""
+    import xxhash
+
+    rng = random.Random(13)
+    settings = toxicity.Settings(bits=14, l1=0.53, epochs=2)
+    mask, size = (1 << 64) - 1, 1 << settings.bits
+    texts = {k: " ".join(rng.choice(prose).split()[:25] + (["vile", "scum"] if k % 3 == 0 else [])) for k in range(80)} | {80: None, 81: "", 82: "one", 83: "vile " * 20_000}
+
+    def features(text):
+        words = re.sub(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", b" ", (text or "").lower().encode()).split()
+        h = [[xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(w[:4], 4), xxhash.xxh3_64_intdigest(w[:5], 5)] for w in words]
+        out = {size} | {(x * 0x9E3779B97F4A7C15 & mask) >> 64 - settings.bits for row in h for x in row}
+        for gap in (1, 2, 3):
+            for a, b in zip(h, h[gap:]):
+                x = a[0] * 0xC2B2AE3D27D4EB4F + b[0] + gap & mask
+                out.add(((x ^ x >> 29) * 0x9E3779B97F4A7C15 & mask) >> 64 - settings.bits)
+        return sorted(out)
+
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(3, "zzz twice")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(70)], "doc_id long, toxic int")
+    order = [r.doc_id for r in labels.filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    first = min(["zzz twice", texts[3]], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).head()[0])
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(k):
+        l1 = 0 if k == size else settings.l1
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((settings.beta + n[k] ** 0.5) / settings.alpha + settings.l2)
+
+    import math
+
+    for _ in range(settings.epochs):
+        for k in order:
+            at = features(first if k == 3 else texts[k])
+            w = {j: weight(j) for j in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - (k % 3 == 0)
+            for j in at:
+                s = ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / settings.alpha
+                z[j] += g - s * w[j]
+                n[j] += g * g
+    got = toxicity.judged(docs, labels, settings).collect()
+    for r in got:
+        text = texts[r.doc_id]
+        options = ([text] if r.doc_id != 3 else [text, "zzz twice"])
+        plain = [1 / (1 + math.exp(-max(-500, sum(map(weight, features(t)))))) for t in options]
+        assert min(abs(r.score - x) for x in plain) < 1e-4, (r, plain)
+    assert len(got) == len(texts) + 1 and 0 < sum(r.predicted for r in got) < len(got)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
