@@ -57,6 +57,7 @@ class View:
 _EDGES = {
     "new": "SELECT CAST(o_custkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst, CAST(epoch(o_orderdate) AS BIGINT) AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "mid": "SELECT CAST(o_custkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst, CAST(epoch(o_orderdate) AS BIGINT) AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "cold": "SELECT CAST(o_custkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) * 10000 + year(o_orderdate) AS dst, CAST(epoch(o_orderdate) AS BIGINT) AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "rep": "SELECT CAST(user_id AS BIGINT) AS src, CAST(json_extract(props, '$.k') AS BIGINT) AS dst, epoch_us(ts) AS time FROM events",
     "type": "SELECT CAST(user_id AS BIGINT) AS src, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS BIGINT) AS dst, epoch_us(ts) AS time FROM events",
 }

@@ -28,6 +28,15 @@ def edges_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir, "l_suppkey")
 
 
+def edges_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers by year: with each year all destinations are new."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    dst = F.col("l_suppkey").cast("long") * 10_000 + F.year("o_orderdate")
+    return rows.select(F.col("o_custkey").cast("long").alias("src"), dst.alias("dst"), epoch("o_orderdate", "SECOND").alias("time"))
+
+
 def _orders(spark: SparkSession, sf_dir: str, dst: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", dst)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
