@@ -19,12 +19,12 @@ def asof_state(events: DataFrame, probes: DataFrame, key: list[str], order: str
 
 
 def prequential(edges: DataFrame) -> DataFrame:
-    """Each edge (seq, src, dst, time) with the counts and last times of its destination, source and pair before it."""
+    """Each edge (seq, src, dst, time) with the counts and last times of its destination, source and pair before it: three windows whose
+    frames end one row before, and no join."""
     out = edges.select("seq", "src", "dst", "time")
-    probes = edges.withColumn("pid", F.col("seq"))
     for name, key in (("dst", ["dst"]), ("src", ["src"]), ("pair", ["src", "dst"])):
-        s = asof_state(edges, probes, key)
-        out = out.join(s.select(F.col("pid").alias("seq"), F.col("n").alias(f"{name}_n"), F.col("last").alias(f"{name}_last")), "seq")
+        w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(f"{name}_n", F.count("*").over(w)).withColumn(f"{name}_last", F.max("time").over(w))
     return out.withColumn("dst_gap", log_gap(F.col("time"), F.col("dst_last"))).withColumn("is_new_pair", F.col("pair_n") == 0)
 
 
@@ -52,11 +52,36 @@ def neighbours_before(edges: DataFrame, probes: DataFrame, k: int) -> DataFrame:
 
 def rolling_blocks(edges: DataFrame, block: int) -> DataFrame:
     """seq, src, dst, block and the counts of dst and of the pair in strictly earlier blocks: the state with which a block is scored before it
-    is added."""
-    b = edges.withColumn("block", F.floor((F.col("seq") - 1) / block)).withColumn("pid", F.col("seq"))
-    d = asof_state(b, b, ["dst"], "block").select("pid", F.col("n").alias("dst_n"))
-    p = asof_state(b, b, ["src", "dst"], "block").select("pid", F.col("n").alias("pair_n"))
-    return b.select("seq", "src", "dst", "block", "pid").join(d, "pid").join(p, "pid").drop("pid")
+    is added. Blocks are counted first, so a window holds a row for each key and block, not for each edge."""
+    b = edges.select("seq", "src", "dst", F.floor((F.col("seq") - 1) / block).alias("block"))
+    out = b
+    for name, key in (("dst_n", ["dst"]), ("pair_n", ["src", "dst"])):
+        before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        counts = b.groupBy(*key, "block").agg(F.count("*").alias("c"))
+        out = out.join(counts.select(*key, "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias(name)), [*key, "block"])
+    return out.select("seq", "src", "dst", "block", "dst_n", "pair_n")
+
+
+def block_pools(edges: DataFrame, block: int, hot: int, recent: int) -> DataFrame:
+    """Candidates of each edge from strictly earlier blocks: seq, src, source, place, dst. source 1: its source's last `recent` events, the
+    newest first; 2: the `hot` most frequent destinations. The popular ones of a block are ranked from sums over blocks: a row for each
+    destination and later block, so blocks should be some thousands at most."""
+    b = edges.select("seq", "src", "dst", F.floor((F.col("seq") - 1) / block).cast("long").alias("block"))
+    blocks = b.select(F.col("block").alias("at")).distinct()
+    counts = b.groupBy("dst", "block").agg(F.count("*").alias("c"))
+    later = counts.join(F.broadcast(blocks), F.col("block") < F.col("at")).groupBy("at", "dst").agg(F.sum("c").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "dst"))
+    top = later.withColumn("place", rank).filter(F.col("place") <= hot).select(F.col("at").alias("block"), F.lit(2).alias("source"), "place", "dst")
+    popular = b.select("seq", "src", "block").join(top, "block")
+    # of each source and block the newest events before it: those of its own last blocks
+    own = Window.partitionBy("src").orderBy("seq")
+    rows = b.withColumn("i", F.row_number().over(own))
+    first = rows.groupBy("src", "block").agg((F.min("i") - 1).alias("upto"))
+    back = first.withColumn("i", F.explode(F.sequence(F.greatest(F.col("upto") - (recent - 1), F.lit(1)), F.greatest("upto", F.lit(1))))).filter("i <= upto")
+    held = back.join(rows.select("src", "i", "dst"), ["src", "i"]).select("src", "block", F.lit(1).alias("source"), (F.col("upto") - F.col("i") + 1).cast("int").alias("place"), "dst")
+    mine = b.select("seq", "src", "block").join(held, ["src", "block"])
+    columns = ["seq", "src", "source", "place", "dst"]
+    return mine.select(*columns).unionByName(popular.select(*columns))
 
 
 def fifo_counts(edges: DataFrame, window: int) -> DataFrame:

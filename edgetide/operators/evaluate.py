@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .order import exact_percentiles, with_prefix
 from .windows import argmax, top_k, zscore
 
 
@@ -44,19 +45,32 @@ def bucketed(rr: DataFrame, flags: DataFrame, column: str = "rr_optimistic") ->
     return rows.groupBy("bucket").agg(F.avg("rr").alias("mrr"), F.count("*").alias("events"))
 
 
+def wide_ranks(scored: DataFrame, names: list[str], mid: bool = True) -> DataFrame:
+    """qid and a reciprocal rank for each of several scores, of queries with a positive: one shuffle for all, no row is multiplied. A null
+    score is no candidate; where the positive's is null, so is its reciprocal rank."""
+    w = Window.partitionBy("qid")
+    x = {n: F.round(F.col(n).cast("double"), 9) for n in names}
+    rows = scored.select("qid", "label", *[v.alias(n) for n, v in x.items()])
+    rows = rows.select("qid", F.max("label").over(w).alias("_l"), *names, *[F.max(F.when(F.col("label"), F.col(n))).over(w).alias(f"_p{k}") for k, n in enumerate(names)]).filter("_l")
+    counts = [c for k, n in enumerate(names) for c in (F.count_if(F.col(n) > F.col(f"_p{k}")).alias(f"_g{k}"), F.count_if(F.col(n) == F.col(f"_p{k}")).alias(f"_e{k}"))]
+    out = rows.groupBy("qid").agg(*counts)
+    others = 0.5 if mid else 0.0
+    return out.select("qid", *[F.when(F.col(f"_e{k}") > 0, 1.0 / (1.0 + F.col(f"_g{k}") + others * (F.col(f"_e{k}") - 1))).alias(n) for k, n in enumerate(names)])
+
+
 def by_mode(scored: DataFrame, modes: list[str], flags: DataFrame, eval_set: str) -> DataFrame:
-    """eval_set, mode, bucket, mrr, events of several scores at once: each row becomes one for each mode, ranked in one pass."""
-    long = scored.select("qid", "label", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).cast("double").alias("score")) for m in modes])).alias("m")).select("qid", "label", "m.*")
-    rr = ranks(long, key=("mode", "qid"))
-    every = flags.select("qid", "buckets", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
-    rows = every.join(rr.select("mode", "qid", "rr_optimistic"), ["mode", "qid"], "left").select("mode", F.explode("buckets").alias("bucket"), F.coalesce("rr_optimistic", F.lit(0.0)).alias("rr"))
-    return rows.groupBy("mode", "bucket").agg(F.avg("rr").alias("mrr"), F.count("*").alias("events")).select(F.lit(eval_set).alias("eval_set"), "mode", "bucket", "mrr", "events")
+    """eval_set, mode, bucket, mrr, events of several scores at once, ranked in one pass; queries that couldn't be scored count as 0."""
+    rr = wide_ranks(scored, modes, mid=False)
+    rows = flags.join(rr, "qid", "left").select(F.explode("buckets").alias("bucket"), *[F.coalesce(m, F.lit(0.0)).alias(m) for m in modes])
+    wide = rows.groupBy("bucket").agg(*[F.avg(m).alias(m) for m in modes], F.count("*").alias("events"))
+    long = wide.select("bucket", "events", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("mrr")) for m in modes])).alias("m"))
+    return long.select(F.lit(eval_set).alias("eval_set"), "m.mode", "bucket", "m.mrr", "events")
 
 
 def component_mrr(features: DataFrame, names: list[str]) -> DataFrame:
-    """feature, mrr: each feature alone, mid-rank, in one pass over the unpivoted table."""
-    long = features.select("qid", "label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("score")) for n in names])).alias("m")).select("qid", "label", "m.*")
-    return ranks(long, key=("feature", "qid")).groupBy("feature").agg(F.avg("rr_mid").alias("mrr"))
+    """feature, mrr: each feature alone, mid-rank, in one pass."""
+    one = wide_ranks(features, names).agg(*[F.avg(n).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("mrr")) for n in names])).alias("m")).select("m.*")
 
 
 def weighted_mrr(sets: DataFrame) -> DataFrame:
@@ -127,20 +141,22 @@ def top1_change(scored: DataFrame, a: str, b: str) -> DataFrame:
 def top1_stats(scored: DataFrame, history: DataFrame, score: str = "score") -> DataFrame:
     """One row: distinct best candidates, their known share, and mean, median and p95 of their counts."""
     counts = history.groupBy("dst").agg(F.count("*").alias("n"))
-    rows = argmax(scored, score).join(counts, "dst", "left").select("dst", F.coalesce("n", F.lit(0)).alias("n"))
-    return rows.agg(F.countDistinct("dst").alias("unique_dst"), F.avg((F.col("n") > 0).cast("double")).alias("known_frac"), F.avg("n").alias("count_mean"), F.percentile("n", F.lit(0.5)).alias("count_p50"), F.percentile("n", F.lit(0.95)).alias("count_p95"))
+    # a row for each destination: how often it is best, and its count
+    best = argmax(scored, score).groupBy("dst").agg(F.count("*").alias("times")).join(counts, "dst", "left").select("times", F.coalesce("n", F.lit(0)).alias("n"))
+    p50, p95 = exact_percentiles(best, "n", [0.5, 0.95], weight="times")
+    total = F.sum("times")
+    return best.agg(F.count("*").alias("unique_dst"), (F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)) / total).alias("known_frac"), (F.sum(F.col("n") * F.col("times")) / total).alias("count_mean"), F.lit(p50).alias("count_p50"), F.lit(p95).alias("count_p95"))
 
 
 def score_summary(probs: DataFrame) -> DataFrame:
     """One row: mean and p95 of the top probability, mean entropy."""
     rows = probs.groupBy("qid").agg(F.max("prob").alias("top"), F.sum(S.entropy_term(F.col("prob"))).alias("entropy"))
-    return rows.agg(F.avg("top").alias("top_mean"), F.percentile("top", F.lit(0.95)).alias("top_p95"), F.avg("entropy").alias("entropy_mean"))
+    p95 = exact_percentiles(rows, "top", [0.95])[0]
+    return rows.agg(F.avg("top").alias("top_mean"), F.lit(p95).alias("top_p95"), F.avg("entropy").alias("entropy_mean"))
 
 
 def roc_auc(scored: DataFrame, score: str = "score") -> float:
     """Area under the curve of flat scores by average ranks: values are counted, then summed in order."""
-    from .order import with_prefix
-
     groups = scored.groupBy(F.round(score, 9).alias("x")).agg(F.count("*").alias("n"), F.count_if("label").alias("p"))
     rows = with_prefix(groups, ("x",), F.col("n"), "upto")
     pos, total, ranked = rows.agg(F.sum("p"), F.sum("n"), F.sum(F.col("p") * (F.col("upto") - (F.col("n") - 1) / 2.0))).head()

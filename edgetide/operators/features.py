@@ -89,12 +89,12 @@ GRAPH_RULE = {
 
 
 def two_hop(candidates: DataFrame, history: DataFrame, trans: DataFrame, k: int, power: float = 0.5, value=None) -> DataFrame:
-    """qid, dst, hop: sum over the source's last k destinations of the transition's value, discounted by 1/rank**power. Histories are
-    joined once for each source, and only transitions that end at one of its candidates are summed."""
-    own = candidates.select("src", "dst").distinct()
+    """src, dst, hop, hits: sum over the source's last k destinations of the transition's value, discounted by 1/rank**power. A source's
+    candidates meet its history first, then both ends of a transition are the key: no popular `prev` is multiplied by its transitions."""
+    own = candidates.select("src", F.col("dst").alias("next")).distinct()
     h = seqs.last_k(history, k).select("src", F.col("dst").alias("prev"), "rank")
     v = F.col("w") if value is None else value
-    rows = h.join(trans, "prev").join(own.withColumnRenamed("dst", "next"), ["src", "next"])
+    rows = own.join(h, "src").join(trans, ["prev", "next"])
     return rows.groupBy("src", F.col("next").alias("dst")).agg(F.sum(v * S.discount(F.col("rank"), power)).alias("hop"), F.count("*").alias("hits"))
 
 
@@ -135,7 +135,8 @@ def graph21(candidates: DataFrame, history: History, regime: str = "dataset2", t
 
 
 def common_neighbours(candidates: DataFrame, history: History, beta: float = 0.02, topk: int = 256) -> DataFrame:
-    """src, dst, time of candidates with temporal_cn, temporal_aa, temporal_ra over the newest `topk` out- and in-neighbours."""
+    """src, dst, time of candidates with temporal_cn, temporal_aa, temporal_ra over the newest `topk` out- and in-neighbours. A candidate is
+    multiplied by the neighbours of the end that has fewer, and those are looked up among the other's."""
     s = history.scales
     last = history.edges.groupBy("src", "dst").agg(F.max("time").alias("t"))
     out = last.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("t"), "dst"))).filter(F.col("r") <= topk)
@@ -144,7 +145,10 @@ def common_neighbours(candidates: DataFrame, history: History, beta: float = 0.0
     own = candidates.select("src", "dst", "time").distinct()
     o = out.select("src", F.col("dst").alias("node"), F.col("t").alias("t1"))
     i = into.select("dst", F.col("src").alias("node"), F.col("t").alias("t2"))
-    rows = own.join(o, "src").join(i, ["dst", "node"]).join(degree, "node")
+    few = own.join(o.groupBy("src").agg(F.count("*").alias("n1")), "src").join(i.groupBy("dst").agg(F.count("*").alias("n2")), "dst")
+    by_src = few.filter("n1 <= n2").drop("n1", "n2").join(o, "src").join(i, ["dst", "node"])
+    by_dst = few.filter("n1 > n2").drop("n1", "n2").join(i, "dst").join(o, ["src", "node"])
+    rows = by_src.unionByName(by_dst).join(degree, "node")
     age = F.greatest(F.col("time") - F.greatest("t1", "t2"), F.lit(0)) / F.lit(s.span)
     rows = rows.withColumn("decay", F.exp(-beta * age * 100.0)).withColumn("k", F.greatest("degree", F.lit(1)).cast("double"))
     return rows.groupBy("src", "dst", "time").agg(

@@ -40,21 +40,27 @@ def audience(edges: DataFrame, src_vec: DataFrame, k: int = 64) -> DataFrame:
     return mean_vector(rows.select("dst", "vec"), "dst").select("dst", S.unit(F.col("vec")).alias("av")).join(n, "dst")
 
 
-def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """qid, dst, cos, rank: the k nearest items of each query (id, vec), exactly. Queries and items are dealt in blocks; each pair of blocks
-    keeps its k best for each query, and only those are merged."""
-    q = queries.select("qid", S.unit(F.col("vec")).alias("v")).withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    i = items.select("dst", S.unit(F.col("vec")).alias("v")).withColumn("c", F.pmod(F.xxhash64("dst"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """qid, dst, cos, rank: the k nearest items of each query (id, vec), exactly. Queries and items are dealt in blocks of about `block_rows`;
+    each pair of blocks keeps its k best for each query, and only those are merged."""
+    nq, ni = max(-(-queries.count() // block_rows), 1), max(-(-items.count() // block_rows), 1)
+    q = queries.select("qid", S.unit(F.col("vec")).alias("v")).withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
+    i = items.select("dst", S.unit(F.col("vec")).alias("v")).withColumn("c", F.pmod(F.xxhash64("dst"), F.lit(ni)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def best(left, right):
         import pandas as pd
 
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
-        cos = np.round(np.stack(left.v) @ np.stack(right.v).T, 9)
-        ids = right.dst.to_numpy()
-        order = np.array([np.lexsort((ids, -row))[:k] for row in cos])
-        return pd.DataFrame({"qid": np.repeat(left.qid.to_numpy(), order.shape[1]), "dst": ids[order].ravel(), "cos": np.take_along_axis(cos, order, 1).ravel()})
+        vectors, ids, parts = np.stack(right.v), right.dst.to_numpy(), []
+        for at in range(0, len(left), 512):  # so many rows of cosines at once
+            cos = np.round(np.stack(left.v[at : at + 512]) @ vectors.T, 9)
+            for qid, row in zip(left.qid.to_numpy()[at : at + 512], cos, strict=True):
+                # all that reach the k-th value, then by id
+                some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
+                order = some[np.lexsort((ids[some], -row[some]))[:k]]
+                parts.append((np.full(len(order), qid), ids[order], row[order]))
+        return pd.DataFrame({name: np.concatenate([x[j] for x in parts]) for j, name in enumerate(("qid", "dst", "cos"))})
 
     near = q.groupBy("b", "c").cogroup(i.groupBy("b", "c")).applyInPandas(best, "qid long, dst long, cos double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "dst"))
@@ -78,7 +84,9 @@ def truncated_svd(pairs: DataFrame, dim: int, rounds: int = 7, extra: int = 8, s
     width = min(dim + extra, min(m, n))
     if max(m, n) * width > 200_000_000:
         raise ValueError("the blocks would not fit on the driver; decompose a smaller vocabulary or fewer dimensions")
-    entries = pairs.join(src, "src").join(dst, "dst").select("i", "j", "w").cache()
+    entries = pairs.join(src, "src").join(dst, "dst").select("i", "j", "w")
+    # dealt by the side that is summed: a key's entries are in one task, so each row of a product comes to the driver once
+    dealt = {"i": entries.repartition("i").cache(), "j": entries.repartition("j").cache()}
 
     def times(block: np.ndarray, row: str, column: str, size: int) -> np.ndarray:
         sent = spark.sparkContext.broadcast(block)
@@ -94,9 +102,9 @@ def truncated_svd(pairs: DataFrame, dim: int, rounds: int = 7, extra: int = 8, s
             yield pd.DataFrame({"k": list(total), "v": [x.tolist() for x in total.values()]})
 
         out = np.zeros((size, block.shape[1]))
-        # one row for each key and task
-        for r in entries.mapInPandas(partial, "k long, v array<double>").toLocalIterator():
-            out[r.k] += r.v
+        got = dealt[row].mapInPandas(partial, "k long, v array<double>").toArrow()
+        if got.num_rows:
+            out[got["k"].to_numpy()] = got["v"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
         sent.destroy()
         return out
 

@@ -45,10 +45,10 @@ def with_seq(edges: DataFrame, order: tuple[str, ...] = EDGE_ORDER, name: str =
     return with_prefix(edges, order, F.lit(1), name)
 
 
-def exact_percentiles(df: DataFrame, column: str, shares: list[float], few: int = 50_000) -> list[float]:
+def exact_percentiles(df: DataFrame, column: str, shares: list[float], few: int = 50_000, weight: str | None = None) -> list[float]:
     """Linear-interpolated percentiles, exact. Values are counted; up to `few` distinct ones are added up on the driver, more in ranges on
-    the cluster, from which only the values at the wanted ranks come back."""
-    counts = df.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")).filter("x is not null")
+    the cluster, from which only the values at the wanted ranks come back. weight: a column of how often each row counts."""
+    counts = df.groupBy(F.col(column).alias("x")).agg((F.sum(weight) if weight else F.count("*")).alias("n")).filter("x is not null")
     held = counts.limit(few + 1).collect()
     total = sum(r.n for r in held) if len(held) <= few else counts.agg(F.sum("n")).head()[0]
     if not total:

@@ -68,13 +68,13 @@ class History:
     def dst_stats(self) -> DataFrame:
         """Counts of each destination, all and by period, its sources and last time."""
         s, (r20, r10, r05), t = self.scales, self.starts, F.col("time")
-        count = lambda c: F.count_if(c)
-        return self.edges.groupBy("dst").agg(
-            F.count("*").alias("n"), count(t >= s.p80).alias("recent80"), count((t >= s.p60) & (t < s.p80)).alias("older80"),
-            count(t >= s.p82).alias("recent82"), count((t >= s.p60) & (t < s.p82)).alias("mid82"), count(t < s.p60).alias("older82"),
-            count(t >= r20).alias("recent20"), count(t >= r10).alias("recent10"), count(t >= r05).alias("recent05"),
-            F.countDistinct("src").alias("sources"), F.countDistinct(F.when(t >= s.p80, F.col("src"))).alias("recent_sources"), F.max("time").alias("last"),
-        )
+        periods = {
+            "recent80": t >= s.p80, "older80": (t >= s.p60) & (t < s.p80), "recent82": t >= s.p82, "mid82": (t >= s.p60) & (t < s.p82), "older82": t < s.p60,
+            "recent20": t >= r20, "recent10": t >= r10, "recent05": t >= r05,
+        }
+        # pairs first: sources are then counted without distinct, and a popular destination's edges are summed before they meet
+        pairs = self.edges.groupBy("src", "dst").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in periods.items()], F.max("time").alias("last"))
+        return pairs.groupBy("dst").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in periods], F.count("*").alias("sources"), F.count_if(F.col("recent80") > 0).alias("recent_sources"), F.max("last").alias("last"))
 
     def pair_stats(self) -> DataFrame:
         r20 = self.starts[0]
@@ -87,9 +87,10 @@ class History:
         order = Window.partitionBy("src").orderBy("time", "dst")
         before = F.lag("time").over(order)
         rows = self.edges.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.col("time") - before, F.lit(0))))
-        return rows.groupBy("src").agg(
-            F.count("*").alias("n"), F.countDistinct("dst").alias("unique_dst"), (1.0 - F.countDistinct("dst") / F.count("*")).alias("repeat_rate"),
-            F.coalesce(F.avg("gap"), F.lit(0.0)).alias("avg_gap"), F.max("time").alias("last"),
+        pairs = rows.groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("gap").alias("gaps"), F.count("gap").alias("n_gaps"), F.max("time").alias("last"))
+        return pairs.groupBy("src").agg(
+            F.sum("n").alias("n"), F.count("*").alias("unique_dst"), (1.0 - F.count("*") / F.sum("n")).alias("repeat_rate"),
+            F.coalesce(F.sum("gaps") / F.nullif(F.sum("n_gaps"), F.lit(0)), F.lit(0.0)).alias("avg_gap"), F.max("last").alias("last"),
         )
 
     def repeats(self) -> DataFrame:

@@ -754,6 +754,15 @@ def rolling_block_pool(spark, d):
     return asof.rolling_blocks(View(spark, d, "mid").numbered, 5000)
 
 
+@query(f"""WITH {base_sql('mid')}, b AS (SELECT seq, src, dst, (seq - 1) // 5000 AS block FROM e), bl AS (SELECT DISTINCT block FROM b),
+    lt AS (SELECT bl.block, b.dst, row_number() OVER (PARTITION BY bl.block ORDER BY count(*) DESC, b.dst) AS place FROM bl JOIN b ON b.block < bl.block GROUP BY bl.block, b.dst),
+    own AS (SELECT x.src, x.block, b.dst, row_number() OVER (PARTITION BY x.src, x.block ORDER BY b.seq DESC) AS place FROM (SELECT DISTINCT src, block FROM b) x JOIN b ON b.src = x.src AND b.block < x.block)
+    SELECT b.seq, b.src, 1 AS source, CAST(own.place AS INTEGER) AS place, own.dst FROM b JOIN own ON own.src = b.src AND own.block = b.block WHERE own.place <= 4
+    UNION ALL SELECT b.seq, b.src, 2, CAST(lt.place AS INTEGER), lt.dst FROM b JOIN lt ON lt.block = b.block WHERE lt.place <= 8""")
+def rolling_block_candidates(spark, d):
+    return asof.block_pools(View(spark, d, "mid").numbered, 5000, hot=8, recent=4)
+
+
 @query(f"WITH {base_sql('new')} SELECT dst, count(*) AS n FROM e WHERE seq > (SELECT max(seq) FROM e) - 200000 GROUP BY dst")
 def fifo_window(spark, d):
     return asof.fifo_counts(View(spark, d).numbered, 200_000)
