@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,34 +85,50 @@ SET_WEIGHTS = {
     "dataset1": {"hard": 0.70, "injection": 0.85, "teacher": 0.10},
     "dataset2": {"hard": 0.35, "injection": 1.0, "low_pop": 0.85, "teacher": 0.15},
 }
-GRID = [-1.0, -0.6, -0.4, -0.25, -0.15, -0.08, -0.04, 0.0, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 1.0, 1.5, 2.0]
+GRID = [-2.0, -1.25, -0.75, -0.35, -0.15, 0.0, 0.03, 0.05, 0.08, 0.12, 0.20, 0.35, 0.55, 0.85, 1.25, 1.75, 2.5]
+
+
+def validation_sets(sets: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """Feature tables of several validation sets as one, with eval_set and weight; sets without a weight are left out."""
+    named = [df.withColumn("eval_set", F.lit(name)).withColumn("weight", F.lit(float(weights[name]))) for name, df in sets.items() if weights.get(name)]
+    return reduce(DataFrame.unionByName, named)
 
 
-def weight_search(features: DataFrame, names: list[str], start: dict[str, float], rounds: int = 2, grid: list[float] = GRID, weight: str | None = None) -> tuple[dict[str, float], float, list[dict]]:
-    """Coordinate search of feature weights by weighted mid-rank MRR. z-scores are kept once; a step scores every value of the grid in one
-    job (score + (value - old) * z) and returns 17 numbers. Ends early when a round brings nothing."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    z = features.select("qid", "label", w.alias("_w"), *[zscore(F.col(n)).alias(n) for n in names]).persist()
+def weight_search(features: DataFrame, names: list[str], start: dict[str, float], rounds: int = 4, grid: list[float] = GRID, gain: float = 1e-8) -> tuple[dict[str, float], float, list[dict]]:
+    """Coordinate search of feature weights by mid-rank MRR: of eval_set and weight, where features have them, the weighted mean over
+    sets. z-scores are kept once, dealt by query; a step counts ranks for every value of the grid in one pass without multiplying rows
+    and returns a number for each set and value. Values are tried in the grid's order, and one is taken if it gains more than `gain` over
+    the best so far. Ends early when a round brings nothing."""
+    marks = [F.col(c) if c in features.columns else F.lit(x).alias(c) for c, x in (("eval_set", "all"), ("weight", 1.0))]
+    key = ("eval_set", "qid")
+    z = features.select(*marks, "qid", "label", *names).repartition(*key)
+    z = z.select("eval_set", "weight", "qid", "label", *[zscore(F.col(n), key).alias(n) for n in names]).persist()
     best, log = {n: float(start.get(n, 0.0)) for n in names}, []
 
     def tried(name: str, values: list[float]) -> dict[float, float]:
         now = sum((v * F.col(n) for n, v in best.items() if abs(v) >= 1e-12), F.lit(0.0))
-        rows = z.select("qid", "label", "_w", now.alias("_s"), F.col(name).alias("_z")).withColumn("value", F.explode(F.array(*[F.lit(float(v)) for v in values])))
-        rows = rows.withColumn("score", F.col("_s") + (F.col("value") - best[name]) * F.col("_z"))
-        rr = ranks(rows, key=("value", "qid", "_w"))
-        out = rr.groupBy("value").agg((F.sum(F.col("rr_mid") * F.col("_w")) / F.sum("_w")).alias("m")).collect()
-        return {r.value: r.m for r in out}
+        w = Window.partitionBy(*key)
+        rows = z.select(*key, "weight", "label", now.alias("_s"), F.col(name).alias("_z"))
+        rows = rows.select(*key, "weight", "_s", "_z", F.max(F.when(F.col("label"), F.col("_s"))).over(w).alias("_ps"), F.max(F.when(F.col("label"), F.col("_z"))).over(w).alias("_pz")).filter("_ps is not null")
+        score = lambda x, y, v: F.round(F.col(x) + (v - best[name]) * F.col(y), 9)
+        counts = [c for k, v in enumerate(values) for c in (F.count_if(score("_s", "_z", v) > score("_ps", "_pz", v)).alias(f"g{k}"), F.count_if(score("_s", "_z", v) == score("_ps", "_pz", v)).alias(f"e{k}"))]
+        each = rows.groupBy(*key, "weight").agg(*counts)
+        of = each.groupBy("eval_set", "weight").agg(*[F.avg(1.0 / (1.0 + F.col(f"g{k}") + 0.5 * (F.col(f"e{k}") - 1))).alias(f"m{k}") for k in range(len(values))]).collect()
+        total = max(sum(r.weight for r in of), 1e-12)
+        return {v: sum(r.weight * r[f"m{k}"] for r in of) / total for k, v in enumerate(values)}
 
     top = tried(names[0], [best[names[0]]])[best[names[0]]]
     for turn in range(rounds):
-        before = top
+        improved = False
         for name in names:
-            found = tried(name, sorted({*grid, best[name]}))
-            value = max(found, key=lambda v: (round(found[v], 9), -abs(v), v))
-            if found[value] > top + 1e-9:
-                log.append({"round": turn, "feature": name, "from": best[name], "to": value, "mrr": found[value]})
-                best[name], top = value, found[value]
-        if top <= before + 1e-9:
+            found, old = tried(name, [float(v) for v in grid]), best[name]
+            for value in map(float, grid):
+                if found[value] > top + gain:
+                    best[name], top = value, found[value]
+            if best[name] != old:
+                improved = True
+                log.append({"round": turn + 1, "feature": name, "from": old, "to": best[name], "mrr": top})
+        if not improved:
             break
     z.unpersist()
     return best, top, log
@@ -165,12 +183,45 @@ def roc_auc(scored: DataFrame, score: str = "score") -> float:
     return (ranked - pos * (pos + 1) / 2) / (pos * (total - pos))
 
 
-def select_fusion(scored: DataFrame, model: str, rule: str, grid: list[float], is_hard: str) -> tuple[float, float]:
-    """The model's weight next to a rule of weight 1 by gain on hard lists plus half that on others, and the gain."""
-    zm, zr = zscore(F.col(model)), zscore(F.col(rule))
-    rows = scored.withColumn("_m", zm).withColumn("_r", zr).withColumn("value", F.explode(F.array(*[F.lit(float(v)) for v in sorted({0.0, *grid})])))
-    rows = rows.withColumn("score", F.col("_r") + F.col("value") * F.col("_m"))
-    got = {(r.value, r[is_hard]): r.m for r in ranks(rows, key=("value", is_hard, "qid")).groupBy("value", is_hard).agg(F.avg("rr_mid").alias("m")).collect()}
-    gain = lambda v: (got.get((v, True), 0) - got.get((0.0, True), 0)) + 0.5 * (got.get((v, False), 0) - got.get((0.0, False), 0))
-    best = max(sorted({0.0, *grid}), key=lambda v: (round(gain(v), 9), -v))
-    return best, gain(best)
+def fusion_metrics(sets: dict[str, DataFrame], model: str, rule: str, weights: list[float], mid: bool = True) -> dict[str, dict[str, float]]:
+    """Of each set of scored lists the MRR of the rule, of the model, and of z(rule) + weight * z(model) for every weight: set -> mode -> mrr, a
+    fused mode's name being its weight."""
+    out = {}
+    for name, df in sets.items():
+        rows = df.select("qid", "label", zscore(F.col(rule)).alias("rule"), zscore(F.col(model)).alias("model"))
+        rows = rows.select("qid", "label", "rule", "model", *[(F.col("rule") + float(w) * F.col("model")).alias(f"w{k}") for k, w in enumerate(weights)])
+        modes = ["rule", "model", *[f"w{k}" for k in range(len(weights))]]
+        row = wide_ranks(rows, modes, mid).agg(*[F.avg(m).alias(m) for m in modes]).head()
+        out[name] = {"rule": row.rule or 0.0, "model": row.model or 0.0} | {str(float(w)): row[f"w{k}"] or 0.0 for k, w in enumerate(weights)}
+    return out
+
+
+def select_feature_fusion(metrics: dict[str, dict[str, float]], weights: list[float], hard: str = "hard", other: str = "random") -> float:
+    """The model's weight next to a rule of weight 1, by the gain on hard lists and half that on others. 0 if the model alone is below the
+    rule on hard lists; weights that cost others more than 0.002 are out."""
+    h, o = metrics[hard], metrics[other]
+    if h["model"] + 1e-12 < h["rule"]:
+        return 0.0
+    gains = {float(w): (h[str(float(w))] - h["rule"]) + 0.5 * (o[str(float(w))] - o["rule"]) for w in weights if o[str(float(w))] - o["rule"] >= -0.002}
+    return _first_best(gains)
+
+
+#: What gains count in the choice of the listwise weight; of cold lists the MRR itself.
+LISTWISE_GAINS = {"hard": 0.45, "mixed": 0.40, "random": 0.10}
+LISTWISE_COLD = 0.05
+
+
+def select_listwise_fusion(metrics: dict[str, dict[str, float]], weights: list[float]) -> float:
+    """The model's weight by weighted gains on hard, mixed and random lists and the MRR on cold ones; weights that cost random lists more
+    than 0.01 are out."""
+    gain = lambda name, w: metrics[name][str(float(w))] - metrics[name]["rule"]
+    gains = {float(w): sum(x * gain(name, w) for name, x in LISTWISE_GAINS.items()) + LISTWISE_COLD * metrics.get("cold", {}).get(str(float(w)), 0.0) for w in weights if gain("random", w) >= -0.01}
+    return _first_best(gains)
+
+
+def _first_best(gains: dict[float, float]) -> float:
+    best, top = 0.0, 0.0
+    for w, g in gains.items():
+        if g > top:
+            best, top = w, g
+    return best

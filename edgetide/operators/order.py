@@ -79,11 +79,11 @@ def split_ratio(edges: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFr
     return rows.filter(F.col("seq") <= cut), rows.filter(F.col("seq") > cut)
 
 
-def split_official(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """By the split column, where both sides have rows; else the last 15 % validate."""
+def split_official(edges: DataFrame, share: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """By the split column, where both sides have rows; else the rows after the first share by time validate (the sequence models take 0.8)."""
     train, valid = edges.filter("split = '0'"), edges.filter("split is null or split <> '0'")
     if train.isEmpty() or valid.isEmpty():
-        return split_ratio(edges, 0.85)
+        return split_ratio(edges, share)
     return train, valid
 
 

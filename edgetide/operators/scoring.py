@@ -104,7 +104,8 @@ POLICIES = ("neutral", "mild_penalty", "boost_by_id_prior", "constant", "demote"
 
 
 def with_unknown_policy(df: DataFrame, score: str, policy: str = "demote", fallback: float = -8.0, margin: float = 5.0, cold_weight: float = 0.0, out: str = "adjusted", key=KEY) -> DataFrame:
-    """Scores with unknown destinations treated by policy. Queries without unknown ones only get the prior."""
+    """Scores with unknown destinations treated by policy. Queries without unknown ones only get the prior,
+    of the given weight; boost gives others a quarter of it at least."""
     S.one_of(policy, POLICIES, "policy")
     w = Window.partitionBy(*key)
     unknown, x = F.col("dst_unknown") > 0.5, F.col(score)
@@ -118,11 +119,10 @@ def with_unknown_policy(df: DataFrame, score: str, policy: str = "demote", fallb
     else:
         y = x
     rows = df.withColumn("_prior", cold_prior(key)).withColumn("_y", y)
-    weight = max(cold_weight, 0.25) if policy == "boost_by_id_prior" else cold_weight
-    if policy == "boost_by_id_prior" and not cold_weight:
-        y2 = F.col("_y") + F.when(F.max(F.col("dst_unknown")).over(w) > 0.5, F.col("_prior") * weight).otherwise(0.0)
-    else:
-        y2 = F.col("_y") + F.col("_prior") * weight
+    weight = F.lit(float(cold_weight))
+    if policy == "boost_by_id_prior":
+        weight = F.when(F.max(F.col("dst_unknown")).over(w) > 0.5, F.lit(max(cold_weight, 0.25))).otherwise(weight)
+    y2 = F.col("_y") + F.col("_prior") * weight
     return rows.withColumn(out, y2).drop("_prior", "_y")
 
 

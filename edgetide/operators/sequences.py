@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +90,52 @@ def training_sequences(edges: DataFrame, length: int, gap_scale: float) -> DataF
     return rows.filter(F.size("ids") > 0).select("src", "dst", "time", F.concat(F.array_repeat(F.lit(0).cast("long"), room), "ids").alias("ids"), F.concat(F.array_repeat(F.lit(0.0), room), "gaps").alias("gaps"))
 
 
+
+
+def training_samples(history: DataFrame, supervision: DataFrame, length: int, update: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Samples of sequence models from supervision edges, and one row of counts of those skipped. Edges: seq, src, dst, time.
+
+    A sample has seq, src_id, label (number of dst from 0), is_new_pair, time_pos, gap, hist_len (position in the history's time, scaled log
+    gap to the source's last event, scaled log length of its list), hist and hist_gap: the last `length` known destinations before it and
+    scaled log gaps to them, zeros before. Ids are those of the history, 0 is unknown. With `update`, supervision edges of known
+    destinations are seen by later ones. An edge is skipped if its source or destination is unknown, or its list empty; reasons overlap.
+    Events are numbered for each source, and a sample joins those of its own numbers: no list grows with a source."""
+    from .order import exact_percentiles
+    from .stats import id_map
+
+    src_ids = id_map(history, "src").select("src", F.col("id").alias("src_id"))
+    dst_ids = id_map(history, "dst").select("dst", F.col("id").alias("dst_id"))
+    low, high = history.agg(F.min("time"), F.max("time")).head()
+    low, span = (0, 1.0) if low is None else (low, max(float(high - low), 1.0))
+    gaps = with_previous(history).filter("gap is not null")
+    p90 = exact_percentiles(gaps, "gap", [0.9])[0]
+    gap_scale = max(math.log1p(p90) if p90 == p90 else 1.0, 1.0)
+    most = history.groupBy("src").count().agg(F.max("count")).head()[0]
+    hist_scale = max(math.log1p(float(most or 1)), 1.0)
+
+    columns = ["src", "dst", "time", "seq"]
+    events = history.select(*columns, F.lit(0).alias("phase")).unionByName(supervision.select(*columns, F.lit(1).alias("phase")))
+    events = events.join(dst_ids, "dst", "left").withColumn("dst_id", F.coalesce("dst_id", F.lit(0)))
+    known = F.col("dst_id") > 0
+    counted = known if update else known & (F.col("phase") == 0)
+    updates = counted | (F.col("phase") == 0)
+    order = Window.partitionBy("src").orderBy("phase", "time", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = Window.partitionBy("src", "dst").orderBy("phase", "time", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    one = lambda c: F.when(c, 1).otherwise(0)
+    rows = events.withColumn("n", F.coalesce(F.sum(one(counted)).over(order), F.lit(0))).withColumn("last", F.last(F.when(updates, F.col("time")), ignorenulls=True).over(order))
+    rows = rows.withColumn("seen", F.coalesce(F.sum(one(updates)).over(pairs), F.lit(0)) > 0).withColumn("counted", counted)
+    asked = rows.filter("phase = 1").join(src_ids, "src", "left").withColumn("src_id", F.coalesce("src_id", F.lit(0)))
+    none, cold_src, cold_dst = F.col("n") == 0, F.col("src_id") == 0, F.col("dst_id") == 0
+    skipped = asked.agg(F.count_if(none | cold_src | cold_dst).alias("skipped"), F.count_if(cold_dst).alias("cold_dst"), F.count_if(cold_src).alias("cold_src"), F.count_if(~cold_src & none).alias("no_history"), F.count_if(~(none | cold_src | cold_dst)).alias("samples"))
+    used = asked.filter(~(none | cold_src | cold_dst))
+    held = rows.filter("counted").select("src", (F.col("n") + 1).alias("i"), F.col("dst_id").alias("h"), F.col("time").alias("t"))
+    back = used.select("seq", "src", "time", F.explode(F.sequence(F.greatest(F.col("n") - (length - 1), F.lit(1)), F.col("n"))).alias("i")).join(held, ["src", "i"])
+    gap = F.log1p(F.greatest(F.col("time") - F.col("t"), F.lit(0)).cast("double")) / gap_scale
+    lists = back.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("i", "h", gap.alias("g")))).alias("l"))
+    room = F.lit(length) - F.size("l")
+    out = used.join(lists, "seq").select(
+        "seq", "src_id", (F.col("dst_id") - 1).alias("label"), (~F.col("seen")).cast("int").alias("is_new_pair"), ((F.col("time") - low) / F.lit(span)).alias("time_pos"),
+        F.coalesce(F.log1p(F.greatest(F.col("time") - F.col("last"), F.lit(0)).cast("double")) / gap_scale, F.lit(0.0)).alias("gap"), (F.log1p(F.least("n", F.lit(length)).cast("double")) / hist_scale).alias("hist_len"),
+        F.concat(F.array_repeat(F.lit(0).cast("long"), room), F.transform("l", lambda x: x["h"])).alias("hist"), F.concat(F.array_repeat(F.lit(0.0), room), F.transform("l", lambda x: x["g"])).alias("hist_gap"),
+    )
+    return out, skipped

@@ -608,8 +608,8 @@ def cold_id_prior(spark, d):
 _SOFT = "ex AS (SELECT *, exp(rule_score - max(rule_score) OVER (PARTITION BY qid)) AS x FROM f18), pb AS (SELECT qid, src, time, pos, dst, label, x / sum(x) OVER (PARTITION BY qid) AS prob FROM ex)"
 
 
-def _probs(spark, d) -> DataFrame:
-    return windows.softmax(_rule18(spark, d), "rule_score").select("qid", "src", "time", "pos", "dst", "label", "prob")
+def _probs(spark, d, view: str = "new") -> DataFrame:
+    return windows.softmax(_rule18(spark, d, view), "rule_score").select("qid", "src", "time", "pos", "dst", "label", "prob")
 
 
 @query(f"WITH {_rule18_sql('new')}, {_SOFT} SELECT qid, src, time, pos, dst, label, round(prob, 6) AS prob FROM pb")
@@ -713,15 +713,6 @@ def roc_auc(spark, d):
     return rounded(spark.createDataFrame([(evaluate.roc_auc(_rule18(spark, d), "rule_score"),)], "auc double"))
 
 
-@query("SELECT 'pop' AS feature WHERE false")
-def weight_search_log(spark, d):
-    """Steps of the weight search whose MRR falls below the start's: there must be none."""
-    rows = _rule18(spark, d, "rep")
-    best, top, log = evaluate.weight_search(rows, ["rule_score", "pop", "recency"], {"rule_score": 1.0}, rounds=1, grid=[-0.4, 0.0, 0.4, 1.0])
-    falls = [(x["feature"],) for a, x in zip([{"mrr": 0.0}, *log], log) if x["mrr"] < a["mrr"] - 1e-9]
-    return spark.createDataFrame(falls, "feature string")
-
-
 # Point in time
 
 def _prior_sql(view: str) -> str:
@@ -936,3 +927,6 @@ def listwise_mlp(spark, d):
 
     _, train, test = _halves(spark, d)
     return _report(models.ListwiseMLP(features.RULE18 + features.LISTWISE).fit(train).score(test), "listwise")
+
+
+from . import evaluation  # noqa: E402, F401  its queries register themselves
