@@ -65,29 +65,34 @@ class Pieces(dict):
             self.model = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
             self.letters = _byte_letters()
             self.line = "\n".translate(self.letters)
-            self.line_id = self.model.token_to_id(self.line)
+            self.line_bytes = np.array([self.model.token_to_id(self.line)], "<u4").tobytes()
+            # bytes of each id of the vocabulary
+            vocabulary = self.model.get_vocab()
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, k in vocabulary.items():
+                self.sizes[k] = len(token)
             self.special = tuple(x["content"] for x in spec["added_tokens"])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        """Remember plain pieces, by one call of the library's model with a line end after each."""
+        """Remember plain pieces, by one call of the library's model. No token crosses two of them, so sizes of tokens tell where each ends."""
         if len(self) > self.LIMIT:
             self.clear()
-        new = [x for x in parts if x not in self and x != "\n"]
-        self["\n"] = np.array([self.line_id], "<u4").tobytes()
+        self["\n"] = self.line_bytes
+        new = [x for x in parts if x not in self]
         if not new:
             return
-        # one pass for all pieces; none has a line end in it
-        words = [self.line] * (2 * len(new))
-        words[::2] = "\n".join(new).encode().decode("latin-1").translate(self.letters).split(self.line)
+        # one pass for all: a byte is a letter then, and a line end parts the pieces
+        words = "\n".join(new).encode().decode("latin-1").translate(self.letters).split(self.line)
         ids = np.array(self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.line_id)
-        if len(ends) != len(new):
-            raise AssertionError("each piece must end with one line end")
-        begins, ends = np.append(0, ends[:-1] + 1) * 4, ends * 4
-        self.update(zip(new, map(ids.tobytes().__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
+        upto, wanted = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ends = np.searchsorted(upto, wanted)
+        if len(ids) == 0 or upto[-1] != wanted[-1] or (upto[ends] != wanted).any():
+            raise AssertionError("a token crosses two pieces")
+        ends = (ends + 1) * 4
+        self.update(zip(new, map(ids.tobytes().__getitem__, map(slice, np.append(0, ends[:-1]).tolist(), ends.tolist())), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is an empty text."""
