@@ -66,15 +66,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 16 << 20) -> int:
+    """So many tasks that none has to read much more than `task_bytes`, and four for each core at least. Tables of many small partitions
+    are coalesced to that, so that they aren't written as as many small files."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # a table of unknown size counts as a very large one
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // task_bytes), 1 << 20))
+
+
 #: For rows of megabytes: sizes are checked at each row, and a reader holds some megabytes at once.
 LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 
 
-def written(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
-    """Cut the lineage: the rows as a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str, tasks: int | None = None, large_rows: bool = False) -> DataFrame:
+    """Cut the lineage: the rows as a Parquet table in the shared folder, made by at most so many tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,8 +94,8 @@ def dropped(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Written tables that are deleted at the end of a with block, when what was made of them has been written, too."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+    def __init__(self, spark: SparkSession, tasks: int):
+        self.spark, self.tasks, self.paths = spark, tasks, []
 
     def __enter__(self) -> "Scratch":
         return self
@@ -99,7 +107,7 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.coalesce(self.tasks).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -109,7 +117,7 @@ def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     key = "row_key"
     while key.lower() in (c.lower() for c in df.columns):
         key += "_"
-    return written(df.withColumn(key, F.monotonically_increasing_id()), name), key
+    return written(df.coalesce(tasks_for(df)).withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def cleanup() -> None:

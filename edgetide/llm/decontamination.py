@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, with_row_key, with_unique_names, words_of, written
+from .common import as_bytes, prepare, tasks_for, with_row_key, with_unique_names, words_of, written
 
 GAP = 64  # positions between two documents of a block; slop must be smaller
 #: terms: joined by spaces, which no word has; counts: of postings of each; postings: each term's positions in order, as gaps. Numbers are
@@ -265,7 +265,7 @@ def search(index: DataFrame, benchmark: DataFrame | list[tuple[object, str | Non
 
 def judged(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    return verdicts(search(written(build_index(docs), "postings", large_rows=True), benchmark, width))
+    return verdicts(search(written(build_index(docs), "postings", tasks_for(docs), large_rows=True), benchmark, width))
 
 
 def verdicts(found: DataFrame) -> DataFrame:

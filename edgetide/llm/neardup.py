@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, as_bytes, mix64, prepare, rolling, with_row_key, with_unique_names, words_of, written
+from .common import Scratch, WordHashes, as_bytes, mix64, prepare, rolling, tasks_for, with_row_key, with_unique_names, words_of, written
 
 
 HALF, BITS = 4, 16  # minima in a number, and bits of each
@@ -73,7 +73,9 @@ class Forest:
         expected = [n / self.found(s, depth) for n, s in zip(bands, low, strict=True)]
         expected[0] += 1
         for d in range(depth, self.shortest(), -1):
-            if sum(n * self.found(s, d) for n, s in zip(expected, low, strict=True)) >= self.recall * sum(expected):
+            # a shorter prefix is taken with half the loss to spare: one step then mostly is enough
+            loss = (1 - self.recall) / (1 if d == depth else 2)
+            if sum(n * self.found(s, d) for n, s in zip(expected, low, strict=True)) >= (1 - loss) * sum(expected):
                 return d
         return self.shortest()
 
@@ -252,21 +254,31 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _in_nodes(classes: DataFrame, forest: Forest, depth: int, scratch: Scratch) -> DataFrame:
-    """tree, a, b (the node's numbers), d1, d2 of classes in trie nodes of that depth that have others."""
+def _trie(classes: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
+    """tree, x, y (both numbers of the path), d1, d2 of classes in nodes of the shortest prefix that have others: deeper nodes have
+    members among these only."""
+    every = F.array(*[F.struct(F.lit(t).alias("tree"), F.col(f"k{t}").alias("x"), F.col(f"k{t + forest.trees}").alias("y")) for t in range(forest.trees)])
+    rows = _at(classes.select("d1", "d2", F.explode(every).alias("p")).select("p.*", "d1", "d2"), forest.shortest())
+    return scratch.written(_with_others(rows, scratch).drop("a", "b"), "trie")
+
+
+def _at(trie: DataFrame, depth: int) -> DataFrame:
+    """Add a, b: the numbers of the node of that depth."""
     high, low = masks(depth)
-    numbers = [F.struct(F.lit(t).alias("tree"), F.col(f"k{t}").bitwiseAND(F.lit(high)).alias("a"), F.col(f"k{t + forest.trees}").bitwiseAND(F.lit(low)).alias("b")) for t in range(forest.trees)]
-    every = classes.select("d1", "d2", F.explode(F.array(*numbers)).alias("x")).select("x.*", "d1", "d2")
+    return trie.withColumn("a", F.col("x").bitwiseAND(F.lit(high))).withColumn("b", F.col("y").bitwiseAND(F.lit(low)))
+
+
+def _with_others(rows: DataFrame, scratch: Scratch) -> DataFrame:
     # written, so that a node of very many members can be split in the join
-    nodes = scratch.written(every.groupBy("tree", "a", "b").agg(F.count("*").alias("size")).filter("size > 1").drop("size"), "nodes")
-    return scratch.written(every.join(nodes, ["tree", "a", "b"]), "placed")
+    nodes = scratch.written(rows.groupBy("tree", "a", "b").agg(F.count("*").alias("size")).filter("size > 1").drop("size"), "nodes")
+    return rows.join(nodes, ["tree", "a", "b"])
 
 
 def _round(classes: DataFrame, placed: DataFrame, sets: DataFrame, forest: Forest, depth: int, longer: int | None, scratch: Scratch) -> DataFrame:
     """FOUND of the pairs that share a prefix of `depth` and none of `longer`."""
     trees, parts = forest.trees, max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = [f"k{t}" for t in range(2 * trees)]
-    placed = scratch.written(placed.join(classes.select("d1", "d2", "copies", "n", *keys), ["d1", "d2"]), "members")
+    placed = scratch.written(placed.select("tree", "a", "b", "d1", "d2").join(classes.select("d1", "d2", "copies", "n", *keys), ["d1", "d2"]), "members")
 
     # a node all of whose members share an earlier node, or the longer prefix, has no pair to count
     def same(tree: int, d: int) -> Column:
@@ -303,12 +315,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
 
 def links_of(docs: DataFrame, classes: DataFrame, forest: Forest, scratch: Scratch) -> tuple[DataFrame, int]:
     """FOUND of all links between classes, and the depth at which the prefixes had the target recall."""
-    shortest = _in_nodes(classes, forest, forest.shortest(), scratch)
-    wanted = shortest.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    trie = _trie(classes, forest, scratch)
+    wanted = trie.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     sets = scratch.written(_sets_of(docs, wanted, forest), "sets")
     depth, longer, found = forest.depth, None, None
     while True:
-        placed = shortest if depth == forest.shortest() else _in_nodes(classes, forest, depth, scratch)
+        placed = _at(trie, depth)
+        placed = placed if depth == forest.shortest() else _with_others(placed, scratch)
         new = _round(classes, placed, sets, forest, depth, longer, scratch)
         found = new if found is None else found.unionByName(new)
         if depth == forest.shortest():
@@ -324,8 +337,9 @@ def joined(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     keys = [f"k{t}" for t in range(2 * forest.trees)]
-    rows = written(signed_rows(docs, forest), "signed")
-    with Scratch(spark) as scratch:
+    tasks = tasks_for(docs)
+    rows = written(signed_rows(docs, forest), "signed", tasks)
+    with Scratch(spark, tasks) as scratch:
         own = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.max(k).alias(k) for k in keys))
         classes = scratch.written(own, "classes")
         found, _ = links_of(docs, classes, forest, scratch)
@@ -336,7 +350,7 @@ def joined(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         table = table.withColumn("node", name("d1", "d2")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         table = scratch.written(table.select("d1", "d2", "rep", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
         least = scratch.written(table.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
-        table = written(table.join(least, "root").select("d1", "d2", "class_id", "n_links"), "classes")
+        table = written(table.join(least, "root").select("d1", "d2", "class_id", "n_links"), "classes", tasks)
     hit = rows.select("doc_id", "d1", "d2").join(table, ["d1", "d2"], "left")
     return hit.select("doc_id", F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -348,10 +362,10 @@ def deduplicated(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     rows, key = with_row_key(docs, "rows")
     found = joined(rows.select(F.col(key).alias("doc_id"), "text"), forest).select(F.col("doc_id").alias(key), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))).alias("first")
-    best = written(found.join(rows.select(key, "doc_id"), key).groupBy("class_id").agg(first).select(F.col("first.row").alias(key)), "best")
+    best = written(found.join(rows.select(key, "doc_id"), key).groupBy("class_id").agg(first).select(F.col("first.row").alias(key)), "best", tasks_for(rows))
     # only keys are compared: the texts move once, and those without words for their groups
     bare = rows.filter("doc_id is not null").filter(~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).select(key, "doc_id", "text")
     once = bare.groupBy("doc_id", "text").agg(F.min(key).alias(key)).select(key)
     again = bare.select(key).join(once, key, "left_anti")
-    kept = written(best.join(again, key, "left_anti"), "kept")
+    kept = written(best.join(again, key, "left_anti"), "kept", tasks_for(rows))
     return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prepare, with_unique_names, written
+from .common import prepare, tasks_for, with_unique_names, written
 
 
 @dataclass(frozen=True)
@@ -149,4 +149,4 @@ def place(table: DataFrame, capacity: Capacity, bucket_rows: int = 50_000) -> Da
 
 def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity()) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    return place(written(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
+    return place(written(pieces(docs, tokenizer, capacity).coalesce(tasks_for(docs)).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
