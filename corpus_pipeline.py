@@ -11,32 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgetide.llm import decontamination, neardup, packing, quality, secrets, tokens
-from edgetide.llm.common import load, written
+from edgetide.llm.common import load, tasks_for, written
+
+
+def compact(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Made by at most as many tasks as the size of docs asks for: many small partitions aren't handed on as many small files."""
+    return rows.coalesce(tasks_for(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.keep(docs)
+    return compact(quality.keep(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
-    return neardup.deduplicated(docs)
+    return compact(neardup.deduplicated(docs), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go, each row by its own verdict, whatever its doc_id."""
-    return decontamination.clean(docs, load(spark, sf_dir, "benchmark"))
+    return compact(decontamination.clean(docs, load(spark, sf_dir, "benchmark")), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, its secrets replaced by a mark."""
-    return secrets.redact(docs)
+    return compact(secrets.redact(docs), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens and 64 documents: a row for each piece of each document."""
-    return packing.pack(docs, tokens.default_path(), packing.Capacity(1024, 64, 1024 * 1024))
+    return compact(packing.pack(docs, tokens.default_path(), packing.Capacity(1024, 64, 1024 * 1024)), docs)
 
 
 STAGES = [
