@@ -215,7 +215,7 @@ def csv_queries(spark, d):
     return E.exploded(E.read_queries(spark, path, 10)).drop("qid")
 
 
-@query(f"WITH {K._rule18_sql('rep')}, {K._SOFT}, s8 AS (SELECT *, round(prob, 8) AS p8 FROM pb), f8 AS (SELECT *, 1 - sum(p8) OVER (PARTITION BY qid) AS rest, row_number() OVER (PARTITION BY qid ORDER BY p8 DESC, pos) = 1 AS best FROM s8) SELECT qid, pos, round(CASE WHEN best THEN p8 + rest ELSE p8 END, 6) AS prob FROM f8")
+@query(f"WITH {K._rule18_sql('rep')}, {K._SOFT}, s8 AS (SELECT *, round(prob, 8) AS p8 FROM pb), f8 AS (SELECT *, 1 - sum(p8) OVER (PARTITION BY qid) AS rest, row_number() OVER (PARTITION BY qid ORDER BY p8 DESC, pos) = 1 AS best FROM s8) SELECT qid, pos, CAST(floor(round((CASE WHEN best THEN p8 + rest ELSE p8 END) * 1e8) / 100) AS BIGINT) AS millionths FROM f8")
 def probability_file(spark, d):
     """Probabilities as they stand in the written file, line by line."""
     path = state.folder(spark, "probabilities")
@@ -224,7 +224,7 @@ def probability_file(spark, d):
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     ids = order.with_prefix(probs.select("qid").distinct(), ("qid",), F.lit(1), "line")
     rows = order.with_prefix(lines, ("at",), F.lit(1), "line").select("line", F.posexplode(F.split("value", ",")).alias("pos", "prob"))
-    return rows.join(ids, "line").select("qid", "pos", F.round(F.col("prob").cast("double"), 6).alias("prob"))
+    return rows.join(ids, "line").select("qid", "pos", F.floor(F.round(F.col("prob").cast("double") * 1e8) / 100).cast("long").alias("millionths"))
 
 
 @query(f"WITH {base_sql('new')}, {scales_sql()} SELECT dst, n, last, {r6('sc.span')} FROM d, (SELECT span FROM sc) sc")
