@@ -34,17 +34,17 @@ def last_k_state(edges: DataFrame, k: int) -> DataFrame:
 
 
 def block_loop(folder: str, score: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: score a batch against the counts of all earlier ones, then add it. Each batch's counts and scores are
-    tables of their own under the folder, keyed by its number, so a batch that runs twice overwrites itself."""
+    """A foreachBatch function: score a batch against the counts of all earlier ones, then add it. Under the folder each batch has its scores
+    and the counts up to and with it, keyed by its number, so a batch reads one table of counts however many came before, and one that
+    runs twice overwrites itself."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.persist()
-        parts = [f"{folder}/counts/{k}" for k in range(number)]
-        empty = spark.createDataFrame([], "dst long, n long")
-        before = spark.read.parquet(*parts).groupBy("dst").agg(F.sum("n").alias("n")) if parts else empty
+        before = spark.read.parquet(f"{folder}/counts/{number - 1}") if number else spark.createDataFrame([], "dst long, n long")
         score(rows, before).write.mode("overwrite").parquet(f"{folder}/scores/{number}")
-        rows.groupBy("dst").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts/{number}")
+        after = before.unionByName(rows.groupBy("dst").agg(F.count("*").alias("n"))).groupBy("dst").agg(F.sum("n").alias("n"))
+        after.write.mode("overwrite").parquet(f"{folder}/counts/{number}")
         rows.unpersist()
 
     return step

@@ -246,3 +246,37 @@ def test_area_under_the_curve_of_many_rows(spark):
     ranks, pos = frame.score.rank().to_numpy(), frame.label.to_numpy()
     want = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
     assert abs(evaluate.roc_auc(rows) - want) < 1e-6
+
+
+@pytest.mark.parametrize("settings", [{}, {"objective": "pointwise"}, {"layers": 3, "residual": True}, {"layers": 3, "residual": True, "objective": "pointwise"}])
+def test_gradients_of_the_mlp_by_differences(settings):
+    rng = np.random.default_rng(3)
+    net = models.MLP(["a", "b", "c"], hidden=4, **settings)
+    w, x, size = net.fresh(rng), rng.normal(size=(12, 3)), np.array([4, 5, 3])
+    y = np.zeros(12)
+    y[[1, 6, 11]] = 1
+    s, inputs, active = net.forward(x, w)
+    got = net.gradient(x, net.slope(s, y, size, 3.0), w, inputs, active)
+    for name, value in w.items():
+        for at in np.ndindex(value.shape):
+            both = []
+            for step in (1e-6, -1e-6):
+                value[at] += step
+                both.append(net.loss(net.forward(x, w)[0], y, size, 3.0))
+                value[at] -= step
+            assert abs((both[0] - both[1]) / 2e-6 - got[name][at]) < 1e-5, (name, at)
+
+
+@pytest.mark.parametrize("settings", [{"objective": "pointwise"}, {"layers": 3, "residual": True}])
+def test_models_learn_are_saved_and_loaded(spark, tmp_path, settings):
+    rng = np.random.default_rng(5)
+    rows = [(q, bool(k == 0), float(rng.normal() + 2.0 * (k == 0)), float(rng.normal())) for q in range(300) for k in range(6)]
+    df = spark.createDataFrame(rows, "qid long, label boolean, a double, b double").cache()
+    net = models.MLP(["a", "b"], hidden=8, epochs=150, rate=0.01, **settings).fit(df.filter("qid < 200"))
+    net.save(spark, f"{tmp_path}/model")
+    scored = models.MLP.load(spark, f"{tmp_path}/model").score(df.filter("qid >= 200"), "score")
+    assert evaluate.metrics(scored.withColumn("pos", F.lit(0))).head().mrr > 0.7
+    with pytest.raises(FileNotFoundError):
+        models.MLP.load(spark, f"{tmp_path}/none")
+    with pytest.raises(ValueError):
+        models.MLP(["a"], objective="other")
