@@ -4,9 +4,13 @@ Queries: qid, src, time, dst (the positive). Lists: qid, src, time, pos, dst, la
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import positive_int
 from .order import exact_percentiles
 from .sequences import last_k
 from .stats import id_map
@@ -217,3 +221,14 @@ def hard_negative_tables(history: DataFrame, k: int = 50, hot: int = 4096) -> tu
     return recent.withColumn("place", place).filter(F.col("place") <= k).select("src", "dst", "place"), popular(history, hot)
 
 
+def blocks(lists: dict[str, DataFrame]) -> DataFrame:
+    """Lists of several kinds as one training set, each row with the name of its block; equal lists of two blocks both stay."""
+    return reduce(DataFrame.unionByName, [rows.withColumn("block", F.lit(name)) for name, rows in lists.items()])
+
+
+def large_pool(queries: DataFrame, n: int, sampler: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Lists of at most n from a sampler of queries and a size; what it returns must have the columns of lists, and the positive in each."""
+    rows = sampler(queries, positive_int(n, "n"))
+    if missing := {"qid", "src", "time", "pos", "dst", "label"} - {*rows.columns}:
+        raise ValueError(f"the sampler's lists have no {', '.join(sorted(missing))}")
+    return rows

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
-from ..operators import evaluate, features, order, scoring, sequences
+from ..operators import evaluate, features, order, profile, scoring, sequences
 from ..sources import edges as E
 from ..sources import sinks, state
 from . import catalog as K
@@ -180,6 +180,43 @@ def training_skips(spark, d):
     return sequences.training_samples(v.train, v.valid, 8)[1]
 
 
+def _bucket_sql(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN '0' ELSE {K._BUCKET.replace('WHEN n ', f'WHEN {x} ')} END"
+
+
+_VALUES = ["count(*) FILTER (pop > 0)", "sum(pair)", "sum(follows)"]
+
+
+@query(f"""WITH {base_sql('cold')}, tl AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY time, src, dst) AS i FROM h) WHERE i > floor((SELECT count(*) FROM h) * 0.8)), pc AS (SELECT dst, count(*) AS n FROM h GROUP BY dst), rc AS (SELECT dst, count(*) AS n FROM tl GROUP BY dst),
+    lg AS (SELECT src, dst, lag(dst) OVER (PARTITION BY src ORDER BY time, dst) AS prev, row_number() OVER (PARTITION BY src ORDER BY time DESC, dst DESC) AS r FROM h), fo AS (SELECT DISTINCT prev, dst FROM lg WHERE prev IS NOT NULL),
+    x AS (SELECT coalesce(pc.n, 0) AS pop, coalesce(rc.n, 0) AS recent, CAST(EXISTS (SELECT 1 FROM h WHERE h.src = v.src AND h.dst = v.dst) AS INTEGER) AS pair, CAST(fo.dst IS NOT NULL AS INTEGER) AS follows FROM v LEFT JOIN pc ON pc.dst = v.dst LEFT JOIN rc ON rc.dst = v.dst LEFT JOIN lg l ON l.src = v.src AND l.r = 1 LEFT JOIN fo ON fo.prev = l.prev AND fo.dst = v.dst),
+    y AS (SELECT count(*) AS n, count(*) FILTER (pop > 0) AS k, sum(pair) AS p, sum(follows) AS f FROM x),
+    z AS (SELECT 'history_rows' AS name, CAST((SELECT count(*) FROM h) AS DOUBLE) AS value UNION ALL SELECT 'valid_rows', n FROM y UNION ALL SELECT 'history_dsts', (SELECT count(DISTINCT dst) FROM h) UNION ALL SELECT 'dst_seen', k / n FROM y UNION ALL SELECT 'cold_dst', 1 - k / n FROM y
+        UNION ALL SELECT 'pair_seen', p / n FROM y UNION ALL SELECT 'new_pair', 1 - p / n FROM y UNION ALL SELECT 'follows_last', f / n FROM y
+        {' '.join(f"UNION ALL SELECT '{c} p{int(100 * s)}', quantile_cont({c}, {s}) FROM x" for c in ('pop', 'recent') for s in profile.SHARES)}
+        {' '.join(f"UNION ALL SELECT '{c} bucket ' || {_bucket_sql(c)}, count(*) / (SELECT n FROM y) FROM x GROUP BY 1" for c in ('pop', 'recent'))})
+    SELECT name, round(value, 6) AS value FROM z""".replace("LEFT JOIN fo ON fo.prev = l.prev", "LEFT JOIN fo ON fo.prev = l.dst"))
+def profile_followed(spark, d):
+    v = View(spark, d, "cold")
+    return rounded(profile.followed(v.train, v.valid))
+
+
+# Blocks of lists
+
+@query(f"WITH {_sets_sql('rep')} SELECT CASE qid % {len(SETS)} WHEN 2 THEN 'hard' ELSE 'mixed' END AS block, (qid - qid % {len(SETS)}) // {len(SETS)} AS qid, pos, dst, label FROM c WHERE qid % {len(SETS)} IN (2, 3)")
+def training_blocks(spark, d):
+    """Hard and mixed lists one after the other."""
+    v = View(spark, d, "rep")
+    return C.blocks({"hard": C.hard_lists(v.queries, v.train, WIDTH), "mixed": C.mixed_lists(v.queries, v.train, v.valid.select("dst"), WIDTH)}).select("block", "qid", "pos", "dst", "label")
+
+
+@query(f"WITH {lists_sql('mid')}, known AS {K._ids('SELECT DISTINCT dst FROM h')}, r AS ({K._POSITIVE} UNION ALL {K._drawn('known', '499', 9)}), {K._FIRST} SELECT qid, src, time, {K._NUMBER} AS pos, dst, m = 0 AS label FROM f")
+def large_pool(spark, d):
+    """Lists of 500 by a sampler that the caller gives; here of random draws, of which the vocabulary allows a hundred."""
+    v = View(spark, d, "mid")
+    return C.large_pool(v.queries, 500, lambda q, n: C.random_lists(q, v.train.select("dst"), n))
+
+
 # Written and read back
 
 @query(f"WITH {base_sql('mid')} SELECT src, dst, time, CASE WHEN seq % 5 = 0 THEN '1' ELSE '0' END AS split FROM e")

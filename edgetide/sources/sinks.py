@@ -51,13 +51,13 @@ def write_zeros(queries: DataFrame, path: str, width: int = 100) -> None:
 
 
 def line_report(lines: DataFrame, width: int = 100, tolerance: float = 1e-5) -> DataFrame:
-    """One row: rows, bad rows (width, sign, sum), least and largest sum and value."""
+    """One row: rows, bad rows (width, sign, sum), the first bad row as text, least and largest sum and value."""
     row = F.transform(F.split("value", ","), lambda x: x.try_cast("double"))
-    parsed = lines.select(row.alias("row"))
+    parsed = lines.select("value", F.monotonically_increasing_id().alias("at"), row.alias("row"))
     total = F.aggregate("row", F.lit(0.0), lambda a, x: a + x)
     ok = (F.size("row") == width) & ~F.exists("row", lambda x: x.isNull() | F.isnan(x) | (x < 0)) & (F.abs(total - 1) <= tolerance)
-    checked = parsed.select(F.coalesce(ok, F.lit(False)).alias("ok"), total.alias("total"), F.array_min("row").alias("low"), F.array_max("row").alias("high"))
-    return checked.agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("bad"), F.min("total").alias("sum_min"), F.max("total").alias("sum_max"), F.min("low").alias("value_min"), F.max("high").alias("value_max"))
+    checked = parsed.select("at", F.substring("value", 1, 200).alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"), total.alias("total"), F.array_min("row").alias("low"), F.array_max("row").alias("high"))
+    return checked.agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("bad"), F.min_by(F.when(~F.col("ok"), F.col("value")), F.when(~F.col("ok"), F.col("at"))).alias("first_bad"), F.min("total").alias("sum_min"), F.max("total").alias("sum_max"), F.min("low").alias("value_min"), F.max("high").alias("value_max"))
 
 
 def validate(spark: SparkSession, path: str, expected_rows: int, width: int = 100, tolerance: float = 1e-5) -> dict:
@@ -89,12 +89,18 @@ def zip_members(members: dict[str, str], path: str) -> None:
 
 def read_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
     """Rows of scores of a member: qid, row."""
-    def lines(content: bytes) -> list[str]:
+    def lines(batches):
         import io
 
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return z.read(member).decode().splitlines()
+        import pyarrow as pa
 
-    text = F.udf(lines, "array<string>")
-    rows = spark.read.format("binaryFile").load(path).select(F.posexplode(text("content")).alias("qid", "value"))
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    found = z.read(member).decode().splitlines()
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    yield pa.record_batch([pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.string())], ["qid", "value"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "qid long, value string")
     return rows.select(F.col("qid").cast("long"), F.transform(F.split("value", ","), lambda x: x.cast("double")).alias("row"))
