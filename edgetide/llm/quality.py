@@ -13,6 +13,9 @@ A text with none of a reference's common words has a distance that their share a
 are 41 % of all words), so the limit by words is a share of each reference's own ceiling. Documents of a language whose
 common words aren't known (too few words, or too small a share) pass by words: those of other languages say nothing.
 
+Documents of a language beyond the `languages` of the most words are compared to plain prose in their own script and to the others'
+references by classes, and pass by words.
+
 Words are runs without space and U+0009 to U+000D. Nulls: a null text has no words (and fails the base rule); a null lang
 is a language of its own; a null doc_id is kept. Equal rows are judged each by itself. An empty table has no references and
 no rows. Extra columns are ignored, or kept by `with_verdict`.
@@ -63,6 +66,8 @@ class Limits:
     reference_words: int = 2_000
     #: Characters of plain prose added to each language's own.
     prose_chars: int = 2_500
+    #: Languages with references, those of the most words (language marks may be anything): they come to the driver and go to every task.
+    languages: int = 1_000
 
 
 def repeated_words(words: list[bytes], hashes: WordHashes, width: int = 8) -> int:
@@ -123,13 +128,18 @@ class References:
     worded: set[str | None]  # languages whose common words are known
 
 
-def smoothed(counts: np.ndarray, chars: int) -> np.ndarray:
-    """Shares of character classes, with so many characters of plain prose in the script of the counted letters."""
+def prose_in(counts: np.ndarray) -> np.ndarray:
+    """Shares of plain prose in the script of the counted letters."""
     letters = counts[[LOWER - 1, WIDE - 1]]
     prose = _PROSE.copy()
     if letters.sum():
         prose[[LOWER - 1, WIDE - 1]] = prose[LOWER - 1] * letters / letters.sum()
-    return (counts + chars * prose) / (counts.sum() + chars)
+    return prose
+
+
+def smoothed(counts: np.ndarray, chars: int) -> np.ndarray:
+    """Shares of character classes, with so many characters of plain prose in the script of the counted letters."""
+    return (counts + chars * prose_in(counts)) / (counts.sum() + chars)
 
 
 def ceiling(shares: np.ndarray) -> float:
@@ -169,6 +179,9 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     source = with_unique_names(docs, "lang", "text").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     table = source.mapInArrow(counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     kind = F.col("word").startswith(F.lit(b"\x00"))
+    # the languages of the most words, at most so many rows
+    most = table.filter(F.col("word") == F.lit(b"\x00w")).orderBy(F.desc("n"), "lang").limit(limits.languages).select(F.col("lang").alias("known"))
+    table = table.join(F.broadcast(most), F.col("lang").eqNullSafe(F.col("known"))).drop("known")
     # marks first, then the commonest words: each task keeps only so many of a language before the exchange
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(kind.desc(), F.desc("n"), "word"))
     rows = table.select("*", kind.alias("kind")).withColumn("rank", rank).filter(F.col("rank") <= limits.common_words + 10).collect()
@@ -199,7 +212,7 @@ def distances(texts: list[bytes | None], langs: list[str | None], kinds: np.ndar
     split = [words_of(x) for x in texts]
     n = np.array([len(x) for x in split], np.int64)
     by_word, over = np.zeros(len(texts)), np.zeros(len(texts), bool)
-    own = np.array([known.own.get(x, _PROSE) for x in langs]).reshape(-1, CLASSES)
+    own = np.array([known.own[x] if x in known.own else prose_in(kinds[k, 1 : 1 + CLASSES]) for k, x in enumerate(langs)]).reshape(-1, CLASSES)
     by_class = np.min([js_distance(kinds[:, 1 : 1 + CLASSES], q) for q in (own, *known.classes)], axis=0)
     if known.shares:
         width = len(known.words)

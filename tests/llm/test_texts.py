@@ -146,6 +146,20 @@ def test_a_rare_language_is_kept_at_any_size_of_the_table(spark):
             assert kept_of(spark, [*rows, (junk, lang)]) == [True] * len(rows) + [False]
 
 
+def test_references_are_bounded_by_a_number_of_languages(spark):
+    rng = random.Random(19)
+    prose = [(speech(rng, COMMON, RARE, 200), "en") for _ in range(40)]
+    odd = [(speech(rng, COMMON, RARE, 120), f"mark{k}") for k in range(30)] + [("слово и дело " * 30 + str(k), f"other{k}") for k in range(10)]
+    junk = [(" ".join(f"&&{k} ### $$" for k in range(90)), "mark99")]
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(prose + odd + junk)], "doc_id long, text string, lang string")
+    limits = quality.Limits(languages=3)
+    known = quality.references(docs, limits)
+    assert len(known.own) == 3 and "en" in known.own
+    base = {k for k, (t, _) in enumerate(prose + odd + junk) if "слово" in t}  # a line repeated over and over fails the base rule
+    got = {r.doc_id: r for r in quality.judged(docs, limits).collect()}
+    assert {k for k, r in got.items() if not r.kept} == base | {80} and all(got[k].class_distance < limits.class_distance for k in base)
+
+
 def test_js_distance_of_equal_and_disjoint_shares():
     assert quality.js_distance(np.array([[2.0, 2, 0]]), np.array([0.5, 0.5, 0]))[0] == pytest.approx(0)
     assert quality.js_distance(np.array([[4.0, 0, 0]]), np.array([0, 0.5, 0.5]))[0] == pytest.approx(1)
