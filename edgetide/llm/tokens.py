@@ -50,7 +50,7 @@ def _cuts(text: str) -> list[str]:
 class Pieces(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         super().__init__()
