@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +139,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, memory that the worker has freed goes back to the system (workers outlive their tasks)."""
+    yield from batches
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Runs of digits, letters and bytes of other alphabets, A-Z lower-cased; null has none."""
     return text.translate(_WORD_BYTES).split() if text else []

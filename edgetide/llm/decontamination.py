@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, tasks_for, with_row_key, with_unique_names, words_of, written
+from .common import as_bytes, prepare, released, tasks_for, with_row_key, with_unique_names, words_of, written
 
 GAP = 64  # positions between two documents of a block; slop must be smaller
 #: terms: joined by spaces, which no word has; counts: of postings of each; postings: each term's positions in order, as gaps. Numbers are
@@ -138,7 +138,7 @@ def build_index(docs: DataFrame, block_words: int = 1 << 18) -> DataFrame:
             columns += [pa.array([x], pa.binary()) for x in (b" ".join(block.terms), _packed(block.counts), _packed(_gaps(block.postings, block.counts)))]
             return pa.record_batch(columns, ["block", "doc_ids", "n_words", "terms", "counts", "postings"])
 
-        for batch in batches:
+        for batch in released(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 ids.append(doc_id)
                 texts.append(words_of(text))
@@ -212,7 +212,7 @@ def _hit_rows(block, place, ids, n_words, hits: list[list[tuple[int, int]]], fou
 def _search(index: DataFrame, items: list[tuple[object, str | None]], width: int, slop: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, width)
-        for batch in batches:
+        for batch in released(batches):
             for number, ids, n_words, terms, counts, postings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = _unpacked(counts)
                 block = Block(np.array(n_words, np.int64), terms.split(), counts, _positions(_unpacked(postings), counts))
@@ -231,7 +231,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     held = every.groupBy("block", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             hits = [_union([(h["start"], h["start"] + h["length"]) for h in x]) for x in batch.column(4).to_pylist()]
             yield _hit_rows(*(batch.column(j).to_pylist() for j in range(4)), hits, [set(x) for x in batch.column(5).to_pylist()])
 
@@ -290,7 +290,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_bytes: in
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(held, width)
-        for batch in batches:
+        for batch in released(batches):
             block = Block.of([words_of(x) for x in as_bytes(batch.column(at).cast(pa.string()))])
             n_hit = np.array([sum(end - begin for begin, end in x) for x in block.hits(phrases, 0)[0]], np.int64)
             yield batch.filter(pa.array(~contaminated(n_hit, block.n_words)))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, as_bytes, mix64, prepare, rolling, tasks_for, with_row_key, with_unique_names, words_of, written
+from .common import Scratch, WordHashes, as_bytes, mix64, prepare, released, rolling, tasks_for, with_row_key, with_unique_names, words_of, written
 
 
 HALF, BITS = 4, 16  # minima in a number, and bits of each
@@ -129,7 +129,7 @@ def signed_rows(docs: DataFrame, forest: Forest) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in released(batches):
             sets = [grams(x, forest.words, hashes) for x in as_bytes(batch.column(1))]
             marks = [digest(x) if len(x) else (None, None) for x in sets]
             keys = np.ascontiguousarray(paths(sets, forest).T).view(np.int64)
@@ -223,7 +223,7 @@ def _verified(members: DataFrame, forest: Forest, depth: int, longer: int | None
         def batch_of(x: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array([r[j] for r in x], pa.int64()) for j in range(len(names))], names)
 
-        for batch in batches:
+        for batch in released(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][:5] != row[:5]:
                     close()
@@ -304,7 +304,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in released(batches):
             sets = [grams(x, forest.words, hashes) for x in as_bytes(batch.column(1))]
             marks = [digest(x) for x in sets]
             yield pa.record_batch([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["d1", "d2", "grams"])
@@ -362,10 +362,11 @@ def deduplicated(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     rows, key = with_row_key(docs, "rows")
     found = joined(rows.select(F.col(key).alias("doc_id"), "text"), forest).select(F.col("doc_id").alias(key), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))).alias("first")
-    best = written(found.join(rows.select(key, "doc_id"), key).groupBy("class_id").agg(first).select(F.col("first.row").alias(key)), "best", tasks_for(rows))
+    best = written(found.join(rows.select(key, "doc_id").hint("merge"), key).groupBy("class_id").agg(first).select(F.col("first.row").alias(key)), "best", tasks_for(rows))
     # only keys are compared: the texts move once, and those without words for their groups
     bare = rows.filter("doc_id is not null").filter(~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).select(key, "doc_id", "text")
     once = bare.groupBy("doc_id", "text").agg(F.min(key).alias(key)).select(key)
     again = bare.select(key).join(once, key, "left_anti")
     kept = written(best.join(again, key, "left_anti"), "kept", tasks_for(rows))
-    return rows.join(kept, key, "left_semi").select(*docs.columns)
+    # always by shuffle: the list of rows to keep grows with the corpus
+    return rows.join(kept.hint("merge"), key, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prepare, tasks_for, with_unique_names, written
+from .common import prepare, released, tasks_for, with_unique_names, written
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int = to
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encoded(batch.column(1), tokenizer, end_id), strict=True):
                 for k, (at, n) in enumerate(cut(len(ids) // 4, longest)):
@@ -139,7 +139,7 @@ def place(table: DataFrame, capacity: Capacity, bucket_rows: int = 50_000) -> Da
     ranked = ranked.select(*names, (F.col("base") + F.col("own") - 1).alias("rank"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             n, rank = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, (n.astype(np.int64) << 44) + rank, "right") - 1
             yield pa.record_batch([*batch.columns[:5], pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])], [*names, "sequence_id", "offset"])

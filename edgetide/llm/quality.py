@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, prepare, rolling, with_unique_names, words_of
+from .common import WordHashes, as_bytes, prepare, released, rolling, with_unique_names, words_of
 
 SPACE, LOWER, UPPER, DIGIT, POINT, SYMBOL, OTHER, WIDE, INNER = range(9)
 CLASSES = 7  # LOWER to WIDE
@@ -161,7 +161,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
             rows += [(lang, b"\x00w", c.total()) for lang, c in held.items()]
             return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
 
-        for batch in batches:
+        for batch in released(batches):
             texts, langs = as_bytes(batch.column(1)), batch.column(0).to_pylist()
             for lang, row in zip(langs, class_counts(texts), strict=True):
                 kinds[lang] = kinds.get(lang, 0) + row
@@ -247,7 +247,7 @@ def judged(docs: DataFrame, limits: Limits = Limits(), known: References | None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in released(batches):
             yield pa.record_batch([batch.column(0), *scored(as_bytes(batch.column(1)), batch.column(2).to_pylist(), known, limits, hashes)], [x.split(" ")[0] for x in schema.split(", ")])
 
     source = with_unique_names(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -262,7 +262,7 @@ def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in released(batches):
             langs = [None] * len(batch) if mark is None else batch.column(mark).cast(pa.string()).to_pylist()
             yield batch.filter(scored(as_bytes(batch.column(at)), langs, known, limits, hashes)[-1])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_path, prepare, with_unique_names, written
+from .common import new_path, prepare, released, with_unique_names, written
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = tokens.END_I
         def done() -> pa.RecordBatch:
             return pa.record_batch([pa.array([file_bytes(part, chunk, held_ids, held)[:-4]], pa.binary())], ["value"])
 
-        for batch in batches:
+        for batch in released(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encoded(batch.column(1), tokenizer, end_id), strict=True):
                 held_ids.append(doc_id)
                 held.append(ids)
@@ -162,7 +162,7 @@ def _opened(files: DataFrame, wanted: frozenset[int | None] | None, with_ids: bo
     schema = "part long, chunk long, place long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for content in batch.column(0).to_pylist():
                 store = Store(lambda a, b, c=content: c[a:b], len(content))
                 at = range(len(store.doc_ids)) if wanted is None else [k for k, x in enumerate(store.doc_ids) if x in wanted]

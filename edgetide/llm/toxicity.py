@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, with_unique_names, words_of
+from .common import as_bytes, prepare, released, with_unique_names, words_of
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, taught = Vocabulary(), []
-        for batch in batches:
+        for batch in released(batches):
             for label, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 taught.append((int(label > 0), features(text, vocabulary, settings.bits).astype(np.int32)))
         at, w = fit(taught, settings)
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], settings: Setti
         table = np.zeros((1 << settings.bits) + 1, np.float32)
         table[sent.value[0]] = sent.value[1]
         vocabulary = Vocabulary()
-        for batch in batches:
+        for batch in released(batches):
             split = [words_of(x) for x in as_bytes(batch.column(1))]
             ends = np.cumsum([len(x) for x in split])
             total = np.full(len(split), table[-1], np.float64)
