@@ -201,6 +201,56 @@ def profile_followed(spark, d):
     return rounded(profile.followed(v.train, v.valid))
 
 
+# Choices and functions
+
+_Z2 = f"{K._z('rule_score')} + 5.5 * {K._z('recency')}"
+
+
+@query(f"WITH {K._rule18_sql('rep')} SELECT qid, pos, dst, round({_Z2}, 6) AS stable FROM f18 WINDOW w AS (PARTITION BY qid)")
+def stable_scores(spark, d):
+    """Rule and a model's score (here recency) as they are fused for the stable list."""
+    return rounded(scoring.stable_logits(K._rule18(spark, d, "rep"), "rule_score", "recency").select("qid", "pos", "dst", "stable"))
+
+
+@query(f"""WITH {K._rule18_sql('rep')}, zz AS (SELECT qid, pos, dst, 0.9 * ({K._z('rule_score')}) + 0.1 * ({K._z('recency')}) AS l FROM f18 WINDOW w AS (PARTITION BY qid)), ex AS (SELECT *, exp(l - max(l) OVER (PARTITION BY qid)) AS x FROM zz)
+    SELECT qid, pos, dst, round(x / sum(x) OVER (PARTITION BY qid), 6) AS prob FROM ex""")
+def blended_probs(spark, d):
+    return rounded(scoring.blended(K._rule18(spark, d, "rep"), "rule_score", "recency", 0.1).select("qid", "pos", "dst", "prob"))
+
+
+@query(f"WITH {K._rule18_sql('mid')} SELECT qid, pos, dst, round(CASE WHEN src_seen > 0 AND src_hist_len > 0 THEN rule_score ELSE 0 END, 6) AS usable FROM f18")
+def usable_scores(spark, d):
+    """Scores of queries without a history count as 0."""
+    rows = K._rule18(spark, d, "mid")
+    return rounded(rows.select("qid", "pos", "dst", scoring.usable_or_zero(F.col("rule_score"), F.col("src_seen"), F.col("src_hist_len")).alias("usable")))
+
+
+def _auto_sql(view: str) -> str:
+    return f"SELECT '{view}' AS view, CASE WHEN bipartite OR repeat_fraction < 0.08 THEN 'new_link' ELSE 'repeat_edge' END AS rule FROM ({K._repeat_sql(view)})"
+
+
+@query(" UNION ALL ".join(_auto_sql(x) for x in ("new", "mid", "rep", "type")) + " UNION ALL SELECT 'given', 'repeat_edge'")
+def rule_choice(spark, d):
+    names = {id(scoring.REPEAT_EDGE): "repeat_edge", id(scoring.NEW_LINK): "new_link"}
+    rows = [(x, names[id(scoring.auto_weights(View(spark, d, x).history))]) for x in ("new", "mid", "rep", "type")]
+    rows.append(("given", names[id(scoring.auto_weights(View(spark, d).history, "dataset1"))]))
+    return spark.createDataFrame(rows, "view string, rule string")
+
+
+@query(f"""WITH {base_sql('mid')}, x AS (SELECT seq, src, dst, time, (seq % 101) / 100.0 AS p, (seq % 41) - 20 AS s FROM v)
+    SELECT seq, round(ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6))), 6) AS logit, round(1 / (1 + exp(-s)), 9) AS sigmoid, round((dst % 997) / 996.0, 9) AS bucket, round(-p * ln(greatest(p, 1e-12)), 9) AS entropy, round(1.0 / pow(1 + seq % 7, 0.7), 9) AS discount,
+        CASE WHEN seq % 3 = 0 THEN 7.5 WHEN seq % 3 = 1 THEN 0.0 ELSE p END AS finite, '0.' || lpad(CAST(seq % 101 * 1000000 AS VARCHAR), 8, '0') AS text, {_bucket_sql('(seq % 700)')} AS popularity FROM x WHERE seq % 101 < 100""")
+def scalar_functions(spark, d):
+    from ..functions import scalars as S
+
+    x = View(spark, d, "mid").valid.withColumn("p", F.col("seq") % 101 / 100.0).withColumn("s", F.col("seq") % 41 - 20).filter(F.col("seq") % 101 < 100)
+    odd = F.when(F.col("seq") % 3 == 0, "7.5").when(F.col("seq") % 3 == 1, F.when(F.col("seq") % 2 == 0, "Infinity").otherwise("none")).otherwise(F.col("p").cast("string"))
+    return x.select(
+        "seq", F.round(S.logit(F.col("p")), 6).alias("logit"), F.round(S.sigmoid(F.col("s")), 9).alias("sigmoid"), F.round(S.id_bucket(F.col("dst")), 9).alias("bucket"), F.round(S.entropy_term(F.col("p")), 9).alias("entropy"),
+        F.round(S.discount(1 + F.col("seq") % 7, 0.7), 9).alias("discount"), S.finite(odd).alias("finite"), sinks.formatted(F.array(F.col("p"))).alias("text"), S.popularity_bucket(F.col("seq") % 700).alias("popularity"),
+    )
+
+
 # Blocks of lists
 
 @query(f"WITH {_sets_sql('rep')} SELECT CASE qid % {len(SETS)} WHEN 2 THEN 'hard' ELSE 'mixed' END AS block, (qid - qid % {len(SETS)}) // {len(SETS)} AS qid, pos, dst, label FROM c WHERE qid % {len(SETS)} IN (2, 3)")
