@@ -11,7 +11,12 @@ from ..sources import edges as E
 from ..sources import sinks, state
 from . import catalog as K
 from .catalog import query, r6, rounded
-from .lists import View, base_sql, lists_sql, scales_sql
+from .lists import View, base_sql, edges_sql, lists_sql, scales_sql
+
+
+def oracle(name: str) -> str:
+    return K.oracle_sql()[name]
+
 
 # Validation sets: lists of 100 for each query, and all destinations
 
@@ -150,6 +155,33 @@ def weighted_sets_mrr(spark, d):
     return evaluate.weighted_mrr(spark.createDataFrame(rows, "mrr double, weight double")).withColumn("mrr", F.round("mrr", 9))
 
 
+# Graph features with vectors
+
+def _graph21_sql(regime: str) -> str:
+    """The query without vectors, over another view, with vectors of both sides and the profile of a source's last 160."""
+    w = features.GRAPH_RULE[regime]
+    out = oracle("features_graph21_core").replace(edges_sql("mid"), edges_sql("rep"), 1)
+    vectors = """ev AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), px AS (SELECT lk.src, i, sum(vec[i] / sqrt(lk.r)) AS x FROM lk JOIN ev ON ev.id = lk.dst, range(1, 65) t(i) WHERE lk.r <= 160 GROUP BY ALL),
+        py AS (SELECT src, list(x ORDER BY i) AS vec FROM px GROUP BY src), pz AS (SELECT src, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-6)) AS vec FROM py), tf AS (SELECT dst"""
+    out = out.replace("tf AS (SELECT dst", vectors, 1)
+    out = out.replace("coalesce(hop, 0) AS transition", "coalesce(hop, 0) AS transition, coalesce(list_dot_product(sv.vec, dv.vec), 0) AS svd, coalesce(list_dot_product(pz.vec, dv.vec), 0) AS profile, CAST(dn IS NULL AS DOUBLE) AS unknown", 1)
+    out = out.replace("LEFT JOIN tf ON tf.dst = j.dst,", "LEFT JOIN tf ON tf.dst = j.dst LEFT JOIN ev sv ON sv.id = j.src LEFT JOIN ev dv ON dv.id = j.dst LEFT JOIN pz ON pz.src = j.src,", 1)
+    begin, end = out.index("g AS (SELECT *, degree_cap"), out.index("k AS (SELECT *,")
+    out = out[:begin] + f"g AS (SELECT *, {' + '.join(f'({x}) * {f}' for f, x in w.items())} AS rule FROM b), " + out[end:]
+    out = out.replace(" AS rank_transition FROM g)", f" AS rank_transition, {K._rank('svd')} AS rank_svd, {K._rank('profile')} AS rank_profile FROM g)", 1)
+    return out[: out.rindex("SELECT qid, pos, dst, label")] + f"SELECT qid, pos, dst, label, {', '.join(f'round({x}, 5) AS {x}' for x in features.GRAPH21)} FROM k"
+
+
+def _graph21(spark, d, regime: str) -> DataFrame:
+    v = View(spark, d, "rep")
+    rows = features.graph21(v.lists, v.history, regime, vectors=(K._vectors(spark, d, "src"), K._vectors(spark, d)))
+    return rows.select("qid", "pos", "dst", "label", *[F.round(x, 5).alias(x) for x in features.GRAPH21])
+
+
+for _regime in features.GRAPH_RULE:
+    query(_graph21_sql(_regime), f"features_graph21_{_regime}")(lambda spark, d, r=_regime: _graph21(spark, d, r))
+
+
 # Training samples of sequence models
 
 def _samples_sql(view: str, length: int) -> str:
