@@ -1,4 +1,7 @@
-"""What the operators share: sessions, written tables, words and hashes."""
+"""What the operators share: sessions, written tables, words and hashes.
+
+Ids (doc_id, page_id) are whole numbers: operators cast them to long, and a value that can't be cast stops the job with Spark's own error
+rather than being lost."""
 
 from __future__ import annotations
 

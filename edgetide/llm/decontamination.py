@@ -12,7 +12,8 @@ item; an item of fewer words, but not none, is one window. A document word in an
 document is contaminated if some word and at least a twentieth of its words are.
 
 Nulls: null texts have no words; a null item_id reads "null"; null doc_ids are kept. Equal rows are judged each by itself. With
-an empty benchmark nothing is hit. Extra columns are ignored.
+an empty benchmark nothing is hit. Very long texts are indexed whole, in a block of their own if need be. Extra columns are ignored, or
+kept by `clean`.
 """
 
 from __future__ import annotations

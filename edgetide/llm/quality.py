@@ -17,7 +17,7 @@ Documents of a language beyond the `languages` of the most words are compared to
 references by classes, and pass by words.
 
 Words are runs without space and U+0009 to U+000D. Nulls: a null text has no words (and fails the base rule); a null lang
-is a language of its own; a null doc_id is kept. Equal rows are judged each by itself. An empty table has no references and
+is a language of its own; a null doc_id is kept. Equal rows are judged each by itself, very long texts whole. An empty table has no references and
 no rows. Extra columns are ignored, or kept by `with_verdict`.
 """
 

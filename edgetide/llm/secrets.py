@@ -9,7 +9,7 @@ Samples are rows of a table that the caller gives. `samples` makes one of docume
 random strings, in hex and base 64, and as identifiers the words of at most `max_documents` documents (the least by
 a hash of doc_id), alone and in snake and camel case. The scan itself covers every whole text.
 
-Spans are code points, end exclusive. Nulls: a null text is empty; a null doc_id is kept. Equal rows are scanned each by itself.
+Spans are code points, end exclusive. Nulls: a null text is empty; a null doc_id is kept. Equal rows are scanned each by itself, very long texts whole.
 An empty table gives no rows, and models without samples find nothing. Extra columns are ignored, or kept by `redact`.
 """
 

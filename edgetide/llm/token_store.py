@@ -9,7 +9,7 @@ Files are written by Spark's own text writer, which reaches any store that Spark
 its last four bytes, and the line separator is those four bytes, the magic number that ends every seek table.
 
 Nulls: a null text is empty (end id only); a null doc_id sorts first and stays null. Equal doc_ids keep their rows,
-ordered by a hash of their texts. An empty table gives an empty store. Columns other than doc_id and text are ignored.
+ordered by a hash of their texts. Very long texts are one frame. An empty table gives an empty store. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
