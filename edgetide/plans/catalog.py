@@ -310,7 +310,7 @@ def _mixed_sql(view: str, n: int, mode: str) -> str:
 
 
 for _mode in C.MIXES:
-    query(_mixed_sql("cold", 20, _mode), f"candidates_{_mode}")(lambda spark, d, m=_mode: C.mixed_lists((v := View(spark, d, "cold")).queries, v.train, v.valid.select("dst"), 20, m))
+    query(_mixed_sql("cold", 20, _mode), "candidates_mixed" if _mode == "mixed" else f"candidates_mix_{_mode}")(lambda spark, d, m=_mode: C.mixed_lists((v := View(spark, d, "cold")).queries, v.train, v.valid.select("dst"), 20, m))
 
 
 @query(f"""WITH {lists_sql('cold')}, {scales_sql()}, {_HOT}, hn AS (SELECT least(count(*), 80) AS n FROM hot), cold AS {_ids('SELECT dst FROM v EXCEPT SELECT dst FROM h')}, known AS {_ids('SELECT DISTINCT dst FROM h')},
