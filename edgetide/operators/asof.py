@@ -62,26 +62,67 @@ def rolling_blocks(edges: DataFrame, block: int) -> DataFrame:
     return out.select("seq", "src", "dst", "block", "dst_n", "pair_n")
 
 
+#: So many rows of lists that all edges share go to every task; more are joined by shuffle.
+HELD = 200_000
+
+
+def blocks_hot(counts: DataFrame, hot: int) -> DataFrame:
+    """block, hot: the most frequent destinations of strictly earlier blocks, by descending count, then id. counts: dst, block, c.
+
+    Counts only grow, so a destination among the first after a block was among the first of those that its own last block counted: a block
+    hands on no more than `hot` destinations with their counts so far. Ranges of blocks are summed up first, then each is followed from
+    the state before it."""
+    import pyarrow as pa
+
+    upto = counts.withColumn("n", F.sum("c").over(Window.partitionBy("dst").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "dst"))
+    led = upto.withColumn("r", first).filter(F.col("r") <= hot).select("block", "n", F.col("dst").cast("long").alias("dst")).persist()
+    wide = max((led.agg(F.max("block")).head()[0] or 0) // 200 + 1, 1)
+    led = led.withColumn("g", F.floor(F.col("block") / wide).cast("int"))
+
+    def best(state: dict) -> list:
+        return sorted(state.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))[:hot]
+
+    most = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "dst"))
+    found = led.groupBy("g", "dst").agg(F.max("n").alias("n")).withColumn("r", most).filter(F.col("r") <= hot).orderBy("g").collect()
+    starts, state, at = {}, {}, 0
+    for r in found:
+        for g in range(at, r.g):
+            state = dict(best(state))
+            starts[g + 1] = dict(state)
+        at = r.g
+        state[r.dst] = r.n
+
+    def followed(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        now, out, k = dict(starts.get(rows[0]["g"], {})), {"block": [], "hot": []}, 0
+        while k < len(rows):
+            block = rows[k]["block"]
+            out["block"].append(block)
+            out["hot"].append([dst for dst, _ in best(now)])
+            while k < len(rows) and rows[k]["block"] == block:
+                now[rows[k]["dst"]] = rows[k]["n"]
+                k += 1
+            now = dict(best(now))
+        return pa.table(out, pa.schema([("block", pa.int64()), ("hot", pa.list_(pa.int64()))]))
+
+    return led.groupBy("g").applyInArrow(followed, "block long, hot array<long>")
+
+
 def block_pools(edges: DataFrame, block: int, hot: int, recent: int) -> DataFrame:
     """Candidates of each edge from strictly earlier blocks: seq, src, source, place, dst. source 1: its source's last `recent` events, the
-    newest first; 2: the `hot` most frequent destinations. The popular ones of a block are ranked from sums over blocks: a row for each
-    destination and later block, so blocks should be some thousands at most."""
+    newest first; 2: the `hot` most frequent destinations. Edges are dealt by source once and counted by destination; lists of blocks go to
+    every task, so the rows of candidates are never shuffled."""
     b = edges.select("seq", "src", "dst", F.floor((F.col("seq") - 1) / block).cast("long").alias("block"))
-    blocks = b.select(F.col("block").alias("at")).distinct()
-    counts = b.groupBy("dst", "block").agg(F.count("*").alias("c"))
-    later = counts.join(F.broadcast(blocks), F.col("block") < F.col("at")).groupBy("at", "dst").agg(F.sum("c").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "dst"))
-    top = later.withColumn("place", rank).filter(F.col("place") <= hot).select(F.col("at").alias("block"), F.lit(2).alias("source"), "place", "dst")
-    popular = b.select("seq", "src", "block").join(top, "block")
-    # of each source and block the newest events before it: those of its own last blocks
-    own = Window.partitionBy("src").orderBy("seq")
-    rows = b.withColumn("i", F.row_number().over(own))
-    first = rows.groupBy("src", "block").agg((F.min("i") - 1).alias("upto"))
-    back = first.withColumn("i", F.explode(F.sequence(F.greatest(F.col("upto") - (recent - 1), F.lit(1)), F.greatest("upto", F.lit(1))))).filter("i <= upto")
-    held = back.join(rows.select("src", "i", "dst"), ["src", "i"]).select("src", "block", F.lit(1).alias("source"), (F.col("upto") - F.col("i") + 1).cast("int").alias("place"), "dst")
-    mine = b.select("seq", "src", "block").join(held, ["src", "block"])
-    columns = ["seq", "src", "source", "place", "dst"]
-    return mine.select(*columns).unionByName(popular.select(*columns))
+    tops = blocks_hot(b.groupBy("dst", "block").agg(F.count("*").alias("c")), hot).persist()
+    tops = F.broadcast(tops) if tops.count() * hot <= HELD * 8 else tops
+    popular = b.join(tops, "block").select("seq", "src", F.lit(2).alias("source"), F.posexplode("hot").alias("at", "dst"))
+    # those before the first edge of the source in the block
+    before = F.collect_list(F.struct("dst")).over(Window.partitionBy("src").orderBy("seq").rowsBetween(-recent, -1))
+    rows = b.withColumn("before", before).withColumn("before", F.first("before").over(Window.partitionBy("src", "block").orderBy("seq")))
+    mine = rows.select("seq", "src", F.lit(1).alias("source"), F.posexplode(F.reverse("before")).alias("at", "x"))
+    columns = ["seq", "src", "source", (F.col("at") + 1).alias("place")]
+    return mine.select(*columns, "x.dst").unionByName(popular.select(*columns, "dst"))
 
 
 def fifo_counts(edges: DataFrame, window: int) -> DataFrame:

@@ -44,3 +44,54 @@ def test_random_lists_by_number(spark, size):
 
 def test_random_lists_of_no_vocabulary(spark):
     assert listed(C.random_lists(queries(spark, [(1, 1, 5, 9)]), spark.range(0).select(F.col("id").alias("dst")), 5)) == {1: [9]}
+
+
+def test_block_pools_follow_the_counts(spark):
+    """rolling_block_candidates: ties, destinations that fall behind, several ranges of blocks; one row a destination and block is summed."""
+    from edgetide.operators import asof
+
+    rows = [(i + 1, i * i % 5, (i * i * 31 + i // 40) % 23) for i in range(2500)]
+    edges = spark.createDataFrame(rows, "seq long, src long, dst long")
+    out = asof.block_pools(edges, 6, 3, 4)
+    assert "at#" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x), "counts are joined to later blocks"
+    got = sorted((r.seq, r.source, r.place, r.dst) for r in out.collect())
+    want = []
+    for seq, src, _ in rows:
+        early = [x for x in rows if (x[0] - 1) // 6 < (seq - 1) // 6]
+        want += [(seq, 1, k, x[2]) for k, x in enumerate([x for x in reversed(early) if x[1] == src][:4], 1)]
+        n: dict = {}
+        for x in early:
+            n[x[2]] = n.get(x[2], 0) + 1
+        want += [(seq, 2, k, dst) for k, dst in enumerate(sorted(n, key=lambda d: (-n[d], d))[:3], 1)]
+    assert got == sorted(want)
+
+
+def history(spark):
+    rows = [(q % 7, (q * q * 13 + q // 9) % 41, q) for q in range(400)] + [(50, 3, 5), (51, 90, 6)]
+    return spark.createDataFrame(rows, "src long, dst long, time long")
+
+
+ASKED = [(1000 + 3 * q, src, 500, dst) for q, (src, dst) in enumerate([(0, 1), (1, 99), (2, 13), (50, 3), (77, 5), (6, -4), (3, 0), (51, 90)])]
+
+
+@pytest.mark.parametrize("low", [False, True])
+def test_filled_lists_in_their_rows(spark, monkeypatch, low):
+    """candidates_filled: the same lists as through shuffled rows, which larger vocabularies still take."""
+    asked, h = queries(spark, ASKED), history(spark)
+    lists = C.filled_lists(asked, h, 12, low)
+    assert not {"Window", "Aggregate", "Join"} & {*above_lists(lists).split()}
+    packed = listed(lists)
+    monkeypatch.setattr(C, "PACKED", 5)
+    assert packed == listed(C.filled_lists(asked, h, 12, low)) and len(packed) == len(ASKED)
+
+
+def test_bucketed_lists_in_their_rows(spark, monkeypatch):
+    """candidates_bucketed: the same for sources with and without a history, and a positive that the history doesn't have."""
+    from edgetide.operators.sequences import transitions
+
+    asked, h = queries(spark, ASKED), history(spark)
+    lists = C.bucketed_lists(asked, h, transitions(h), 12, 3, 4)
+    assert not {"Window", "Aggregate", "Join"} & {*above_lists(lists).split()}
+    packed = listed(lists)
+    monkeypatch.setattr(C, "PACKED", 5)
+    assert packed == listed(C.bucketed_lists(asked, h, transitions(h), 12, 3, 4)) and len(packed) == len(ASKED)
